@@ -1,0 +1 @@
+"""Reserved: the survey lists no stream source, watermark or stateful operator, so none is offered."""
