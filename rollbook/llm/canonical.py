@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,6 +125,7 @@ class ReferenceIndex:
             if g := generic(w):
                 self.generics.setdefault(g, set()).add(w)
         self.near: dict[str, list[tuple[str, int]]] = {}
+        self.memo: dict[str, tuple[int, int]] = {}
 
     def candidates(self, word: str) -> list[tuple[str, int]]:
         """Words of the paths within the distance allowed for the word, with their distances; generic words by meaning."""
@@ -156,6 +158,14 @@ class ReferenceIndex:
                     stack.append((node[w], i + 1, cost + d))
         return found
 
+    def memo_lookup(self, text: str) -> tuple[int, int]:
+        """lookup() with the values of this worker remembered; the memory is emptied, never trusted to be complete."""
+        if (known := self.memo.get(text)) is None:
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            known = self.memo[text] = self.lookup(text)
+        return known
+
     def lookup(self, text: str) -> tuple[int, int]:
         """(ref_id, distance) of the nearest entry, (0, 0) if none."""
         typed = read_name(text)
@@ -198,6 +208,17 @@ def _index(entries: list[Entry]) -> ReferenceIndex:
     return _INDEX[0][1]
 
 
+def _searcher(shared: Broadcast):
+    """Column function value -> struct<r, c> over one block of entries."""
+
+    def find(values: pd.Series) -> pd.DataFrame:
+        index = _index(shared.value)
+        hits = [index.memo_lookup(v) if v is not None else (0, 0) for v in values]
+        return pd.DataFrame(hits, columns=["r", "c"], dtype="int32")
+
+    return F.pandas_udf(find, "r int, c int")
+
+
 def nearest_reference(df: DataFrame, value: str, reference: DataFrame, ref_id: str = "ref_id", distance: str = "distance", max_entries: int = MAX_ENTRIES) -> DataFrame:
     """df with the ref_id of the entry nearest to each value (0: unmatched) and its distance. No shuffle.
 
@@ -212,22 +233,7 @@ def nearest_reference(df: DataFrame, value: str, reference: DataFrame, ref_id: s
         entries = read_entries(bounded if blocks == 1 else bounded.where(F.col("_block") == b))
         shared = spark.sparkContext.broadcast(entries)
 
-        def find(values: pd.Series, shared=shared) -> pd.DataFrame:
-            index = _index(shared.value)
-            memo: dict[str, tuple[int, int]] = {}
-            refs, costs = [], []
-            for v in values:
-                if v is None:
-                    refs.append(0)
-                    costs.append(0)
-                    continue
-                if v not in memo:
-                    memo[v] = index.lookup(v)
-                refs.append(memo[v][0])
-                costs.append(memo[v][1])
-            return pd.DataFrame({"r": refs, "c": costs}).astype("int32")
-
-        search = F.pandas_udf(find, "r int, c int")
+        search = _searcher(shared)
         hit = search(F.col(value))
         out = out.withColumn("_h", hit)
         better = F.when(F.col("_h.r") > 0, F.struct(F.col("_h.c").alias("c"), F.col("_h.r").alias("r")))
