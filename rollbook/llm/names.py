@@ -52,7 +52,7 @@ GENERIC: dict[str, str] = {
     "friends": "",
     "lycee": "",
     "gymnasium": "gymn gym",
-    "polytechnic": "polytech",
+    "polytechnic": "polytech poly",
     "conservatory": "conserv",
     "music": "",
     "journalism": "",
@@ -72,17 +72,19 @@ GENERIC: dict[str, str] = {
     "partners": "partn",
     "consulting": "consult",
     "war": "",
+    "fine": "",
+    "arts": "",
     "law": "",
     "alma": "",
     "mater": "",
 }
 # Words without weight, words of parts of a body, degrees, legal forms.
-STOP = frozenset("the of for f in on at and de di du des der la le el y et und zu do da dos van von".split())
+STOP = frozenset("the of for in on at and de di du des der la le el et und zu do da dos van von".split())
 PART = {"faculty": "fac facul", "department": "dept dep", "board": "", "office": "", "trustees": "", "advisory": "", "brussels": "bxl", "governors": "", "institute": "inst", "graduate": "grad", "school": "sch", "law": "", "economics": "econ", "energy": "", "medicine": "", "arts": "", "science": "", "engineering": "", "letters": "", "philosophy": "", "history": ""}
 PART_HEADS = frozenset("faculty department board office trustees".split())
 DEGREES = frozenset("phd msc mba ba ma bsc llm llb lld doctorate diploma degree bachelor master masters dr hons mphil dphil".split())
 LEGAL_FORMS = frozenset("asbl ev gmbh ag spa sa bv oy ltd llp plc inc ab as nv sarl srl kg kft sro".split())
-_MOJIBAKE = re.compile("[ÃÅÄÂ][\u0080-ÿŒ-™]")
+_MOJIBAKE = re.compile("[\u00c2-\u00f4](?:[\u0080-\u00bf]|[ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™])+")
 _LETTERS = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i", "Ø": "o", "Ł": "l", "Đ": "d"})
 _DIGITS = str.maketrans("0135", "oles")
 _DOTTED = re.compile(r"\b((?:[A-Za-z]\.){2,})")
@@ -94,13 +96,16 @@ def repair(text: str) -> str:
     """Undo double encoding and character entities."""
     if "&" in text:
         text = html.unescape(text)
-    if _MOJIBAKE.search(text):
-        for codec in ("cp1252", "latin-1"):
-            try:
-                return text.encode(codec).decode("utf-8")
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                continue
-    return text
+    return _MOJIBAKE.sub(_redecoded, text)
+
+
+def _redecoded(match: re.Match) -> str:
+    for codec in ("cp1252", "latin-1"):
+        try:
+            return match[0].encode(codec).decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+    return match[0]
 
 
 def fold(text: str) -> str:
@@ -138,7 +143,7 @@ def _lookup(word: str, aliases: dict[str, str], trie: WordTrie) -> str | None:
     n = len(word)
     if n < 4:
         return None
-    hits = [(d, len(w), w) for w, d in trie.search(word, 1 if n < 6 else 2 if n < 11 else 3) if len(w) >= 4 and d <= (0 if len(w) < 4 else 1 if len(w) < 7 else 2 if len(w) < 11 else 3)]
+    hits = [(d, len(w), w) for w, d in trie.search(word, 1 if n < 5 else 2 if n < 11 else 3) if len(w) >= 4 and d <= (0 if len(w) < 4 else 1 if len(w) < 6 else 2 if len(w) < 11 else 3)]
     return aliases[min(hits)[2]] if hits else None
 
 
@@ -193,4 +198,10 @@ def read_name(text: str) -> Typed:
             main += words
     while main and main[-1] in LEGAL_FORMS and len(main) > 1:
         aside.append(main.pop())
-    return Typed(tuple(w for w in main if w not in STOP), tuple(aside))
+    kept = [w for i, w in enumerate(main) if w not in STOP and not (w == "f" and _for(main[i + 1 :]))]
+    return Typed(tuple(kept), tuple(aside))
+
+
+def _for(rest: list[str]) -> bool:
+    """Whether an "f" before these words stands for "for"."""
+    return bool(rest) and generic(rest[0]) in ("european", "foreign", "transatlantic")
