@@ -4,6 +4,9 @@ The size of the mix is the largest at which every source that has documents reac
 than `least` of the tokens at hand; a source that cannot reach its share then gives all it may. A source needs each document m
 times on average: floor(m) copies of each, and one more for a balanced sample with inclusion probability m - floor(m).
 
+A document above 1/200 of the tokens wanted of its source could not be balanced by the others at the end, so these large ones
+are drawn first, at the same probability, and the rate m of the rest is set so that the source's tokens still add up.
+
 Flight: three fractional probabilities move along the null space of the constraints (number of documents, number of tokens)
 until one of them is 0 or 1, so both totals stay exact. Each (source, shard) flies by itself, leaving two fractional documents
 at most; these fly again per source. Landing: the last two are rounded to the token total that is nearest.
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 SHARD_ITEMS = 50_000
 LEAST = 0.25
+LARGE = 200
 _EPS = 1e-9
 
 
@@ -116,28 +120,47 @@ def mix(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: DataFra
     supply = {r[0]: (int(r[1] or 0), int(r[2])) for r in slim.groupBy("src").agg(F.sum("n"), F.count(F.lit(1))).collect()}
     want = plan({s: n for s, (n, _) in supply.items()}, rows, total, least)
     kind = dict(docs.dtypes)[doc_id]
-    table = [(s, w / supply[s][0], max(1, -(-supply[s][1] // shard_items))) for s, w in want.items()]
-    needs = docs.sparkSession.createDataFrame(table or [("", 0.0, 1)], "src string, m double, shards int")
-    need = slim.join(F.broadcast(needs), "src").withColumn("base", F.floor(F.col("m") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("m") - F.col("base")))
-    need = need.withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(seed)), F.col("shards")).cast("int"))
+    spark = docs.sparkSession
     schema = f"doc {kind}, src string, n bigint, base bigint, p double"
 
     def fly(group: pd.DataFrame) -> pd.DataFrame:
-        # Large documents fly first, so the ones left fractional are small and landing moves the token total little.
         group = group.sort_values(["n", "doc"], ascending=[False, True], kind="stable")
         mark = zlib.crc32(f"{group['src'].iloc[0]}|{group['shard'].iloc[0] if 'shard' in group else -1}|{seed}".encode())
         group["p"] = flight(group["p"].to_numpy(), group["n"].to_numpy(), mark)
         return group[["doc", "src", "n", "base", "p"]]
 
+    def fly_and_draw(group: pd.DataFrame) -> pd.DataFrame:
+        group = fly(group)
+        rng = random.Random(f"{group['src'].iloc[0]}|{seed}")
+        group["p"] = [float(rng.random() < p) if 0 < p < 1 else p for p in group["p"]]
+        return group
+
     def fly_and_land(group: pd.DataFrame) -> pd.DataFrame:
         group = fly(group)
         group["p"] = land(group["p"].to_numpy(), group["n"].to_numpy())
         return group
 
+    def rated(part: DataFrame, rates: list[tuple]) -> DataFrame:
+        table = spark.createDataFrame(rates or [("", 0.0, 1)], "src string, m double, shards int")
+        part = part.join(F.broadcast(table), "src").withColumn("base", F.floor(F.col("m") + 1e-12))
+        return part.withColumn("p", F.greatest(F.lit(0.0), F.col("m") - F.col("base"))).withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(seed)), F.col("shards")).cast("int"))
+
+    rate = {s: w / supply[s][0] for s, w in want.items()}
+    sized = slim.join(F.broadcast(spark.createDataFrame([(s, w / LARGE) for s, w in want.items()] or [("", 0.0)], "src string, big double")), "src")
+    large = rated(sized.where(F.col("n") > F.col("big")).drop("big"), [(s, m, 1) for s, m in rate.items()])
+    drawn = cut(large.select("doc", "src", "n", "base", "p").groupBy("src").applyInPandas(fly_and_draw, schema))
+    spent = {r[0]: (int(r[1]), int(r[2])) for r in drawn.groupBy("src").agg(F.sum("n"), F.sum(F.col("n") * (F.col("base") + F.round("p")))).collect()}
+    most = {s: r for s, _, r in rows}
+    rest = []
+    for s, w in want.items():
+        held, used = spent.get(s, (0, 0))
+        if supply[s][0] > held:
+            rest.append((s, min(float(most[s]), max(0.0, (w - used) / (supply[s][0] - held))), max(1, -(-supply[s][1] // shard_items))))
+    need = rated(sized.where(F.col("n") <= F.col("big")).drop("big"), rest)
     flown = cut(need.select("doc", "src", "n", "base", "p", "shard").groupBy("src", "shard").applyInPandas(fly, schema))
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
     landed = flown.where(fractional).groupBy("src").applyInPandas(fly_and_land, schema)
-    done = flown.where(~fractional).unionByName(landed)
+    done = drawn.unionByName(flown.where(~fractional)).unionByName(landed)
     return done.select(F.col("doc").alias(doc_id), F.col("src").alias("source"), F.col("n").alias(tokens), (F.col("base") + F.round("p")).cast("int").alias("copies")).where("copies > 0")
 
 
