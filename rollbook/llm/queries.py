@@ -6,4 +6,4 @@ from rollbook.plans.registry import Registry
 
 REG = Registry()
 
-from rollbook.llm import queries_canonical, queries_pairs, queries_reading, queries_resolution, queries_size  # noqa: E402,F401
+from rollbook.llm import queries_canonical, queries_pairs, queries_persons, queries_reading, queries_resolution, queries_size  # noqa: E402,F401
