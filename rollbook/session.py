@@ -48,3 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df does not have, compared without case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
