@@ -71,10 +71,24 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: s
 MAX_KEYWORDS = 20_000
 
 
-def adjacent(df: DataFrame, order: Sequence[str], partition: Sequence[str], kind: str, first: str, second: str) -> DataFrame:
-    """Elements of kind `first` directly followed by one of kind `second`, in document order."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn("_next", F.lead(kind).over(w)).where((F.col(kind) == first) & (F.col("_next") == second)).drop("_next")
+def adjacent(df: DataFrame, order: str, partition: Sequence[str], kind: str, first: str, second: str, span: int = 1_000_000) -> DataFrame:
+    """Elements of kind `first` directly followed by one of kind `second` in the order of an integer column.
+
+    A partition is walked in stretches of `span` order values, so a partition with most of the rows is no single task;
+    the last element of a stretch takes its successor from the next stretch that has elements.
+    """
+    keys = [*partition, "_stretch"]
+    cut = df.withColumn("_stretch", F.floor(F.col(order) / span))
+    inner = cut.withColumn("_next", F.lead(kind).over(Window.partitionBy(*keys).orderBy(order))).withColumn(
+        "_last", F.lead(order).over(Window.partitionBy(*keys).orderBy(order)).isNull())
+    heads = cut.groupBy(*keys).agg(F.min_by(kind, order).alias("_head"))
+    heads = heads.withColumn("_after", F.lead("_head").over(Window.partitionBy(*partition).orderBy("_stretch"))).drop("_head")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"i.{k}").eqNullSafe(F.col(f"h.{k}"))
+    joined = inner.alias("i").join(heads.alias("h"), same, "left")
+    follows = F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next"))
+    return joined.where((F.col(kind) == first) & (follows == second)).select("i.*").drop("_next", "_last", "_stretch")
 
 
 def map_values(df: DataFrame, column: str, mapping: Mapping[str, str]) -> DataFrame:

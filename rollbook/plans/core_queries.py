@@ -234,7 +234,7 @@ def _(t):
 select rd_id from (select rd_id, sector, lead(sector) over (partition by name order by rd_id) nx from commission_revolving_door where name is not null) where sector = 'Charity' and nx = 'Other'""")
 def _(t):
     d = t.commission_revolving_door.where("name is not null").select("rd_id", "name", "sector")
-    return mt.adjacent(d, ["rd_id"], ["name"], "sector", "Charity", "Other").select("rd_id")
+    return mt.adjacent(d, "rd_id", ["name"], "sector", "Charity", "Other").select("rd_id")
 
 
 @query("order_offset_limit", "select roster_id, name from commission_i_2019_2024 where name is not null order by name, roster_id limit 50 offset 100")

@@ -90,3 +90,13 @@ def test_html_rows(spark):
     page = "<table><tr><th>N</th></tr><tr><td>a <b>b</b></td><td></td></tr></table>"
     got = docs.html_rows(spark.createDataFrame([(1, page), (2, None)], "id int, html string"), "id", "html").collect()
     assert [tuple(r) for r in got] == [(1, 0, 0, ["N"]), (1, 0, 1, ["a b", ""])]
+
+
+def test_adjacent_across_stretches(spark):
+    rows = [("p", i, "ab"[i % 3 == 1]) for i in (0, 1, 5, 7, 30, 31, 34)] + [(None, 2, "a"), (None, 900, "b"), ("q", 3, "a")]
+    df = spark.createDataFrame(rows, "k string, o int, v string")
+    want = sorted([("p", 0), ("p", 5), ("p", 30), (None, 2)], key=str)
+    for span in (1_000_000, 10, 1):
+        got = mt.adjacent(df, "o", ["k"], "v", "a", "b", span=span)
+        assert got.columns == ["k", "o", "v"]
+        assert sorted(((r.k, r.o) for r in got.collect()), key=str) == want
