@@ -6,8 +6,9 @@ trie; each step goes to all words within a length-dependent Levenshtein distance
 the trie's words. All entries reached at the end of the value are returned with their total distance; the nearest one wins, ties
 go to the smallest ref_id.
 
-Cases: null values, empty values and canonical names give no row in `unmatched_or_ref`; placeholders, degrees, bare ids and
-values that no entry explains whole get ref_id 0; an empty reference list gives 0 everywhere.
+Cases: null and empty values, placeholders, degrees, bare ids and values that no entry explains whole get ref_id 0 and a null
+distance; an empty reference list gives 0 everywhere; columns of df named like the results are replaced, all others kept; a
+result does not depend on repeated or neighbouring rows.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.automaton import WordTrie
-from rollbook.llm.names import DEGREES, STOP, allowance, fold, generic, read_name
+from rollbook.llm.names import DEGREES, allowance, fold, generic, read_name
+from rollbook.session import fresh
 
 #: Entries per trie; a longer list is searched block by block and the nearest entry over all blocks wins.
 MAX_ENTRIES = 50_000
 _VOWELS = frozenset("aeiouy")
-UNIVERSITY_WORDS = {"university"}
 
 
 @dataclass(frozen=True)
@@ -227,18 +228,17 @@ def nearest_reference(df: DataFrame, value: str, reference: DataFrame, ref_id: s
     spark = df.sparkSession
     total = reference.count()
     blocks = max(1, -(-total // max_entries))
-    out = df.drop(ref_id, distance).withColumn("_hit", F.lit(None).cast("struct<c:int,r:int>"))
+    out = df.drop(ref_id, distance)
+    own = out.columns
+    best, found = fresh(out, "_hit"), fresh(out, "_found")
+    out = out.withColumn(best, F.lit(None).cast("struct<c:int,r:int>"))
     bounded = reference if blocks == 1 else reference.withColumn("_block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)))
     for b in range(blocks):
-        entries = read_entries(bounded if blocks == 1 else bounded.where(F.col("_block") == b))
-        shared = spark.sparkContext.broadcast(entries)
+        shared = spark.sparkContext.broadcast(read_entries(bounded if blocks == 1 else bounded.where(F.col("_block") == b)))
+        out = out.withColumn(found, _searcher(shared)(F.col(value)))
+        nearer = F.when(F.col(found)["r"] > 0, F.struct(F.col(found)["c"].alias("c"), F.col(found)["r"].alias("r")))
+        out = out.withColumn(best, F.least(best, nearer)).drop(found)
+    return out.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(best)["r"], F.lit(0)).alias(ref_id), F.col(best)["c"].alias(distance))
 
-        search = _searcher(shared)
-        hit = search(F.col(value))
-        out = out.withColumn("_h", hit)
-        better = F.when(F.col("_h.r") > 0, F.struct(F.col("_h.c").alias("c"), F.col("_h.r").alias("r")))
-        out = out.withColumn("_hit", F.least("_hit", better)).drop("_h")
-    return out.withColumn(ref_id, F.coalesce("_hit.r", F.lit(0))).withColumn(distance, F.col("_hit.c")).drop("_hit")
 
-
-__all__ = ["Entry", "ReferenceIndex", "STOP", "nearest_reference", "read_entries"]
+__all__ = ["Entry", "ReferenceIndex", "nearest_reference", "read_entries"]

@@ -116,8 +116,9 @@ def fold(text: str) -> str:
 
 _ALIASES = {a: w for w, forms in GENERIC.items() for a in [w, *forms.split()]}
 _PART_ALIASES = {a: w for w, forms in PART.items() for a in [w, *forms.split()]}
-_GENERIC_TRIE = WordTrie(_ALIASES)
-_PART_TRIE = WordTrie(_PART_ALIASES)
+# Short abbreviations are matched as they are, longer words with errors too.
+_GENERIC_TRIE = WordTrie(a for a, w in _ALIASES.items() if a == w or len(a) > 4)
+_PART_TRIE = WordTrie(a for a, w in _PART_ALIASES.items() if a == w or len(a) > 4)
 
 
 def allowance(word: str) -> int:
