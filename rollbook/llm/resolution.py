@@ -134,7 +134,7 @@ def _read_forms(spellings: DataFrame) -> DataFrame:
 
 
 def _keys(forms: DataFrame) -> DataFrame:
-    """(form, key) of all block keys."""
+    """(form, key) of the block keys that more than one form has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -145,7 +145,9 @@ def _keys(forms: DataFrame) -> DataFrame:
                 ids += [f] * len(ks)
             yield pd.DataFrame({"form": ids, "key": keys})
 
-    return forms.select("form", "kind", "names", "initials").mapInPandas(run, "form string, key string").select("form", F.xxhash64("key").alias("key"))
+    keys = forms.select("form", "kind", "names", "initials").mapInPandas(run, "form bigint, key string").select("form", F.xxhash64("key").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("key")
+    return keys.join(shared, "key", "left_semi")
 
 
 def _matching() -> Column:
@@ -166,42 +168,40 @@ def resolve(spellings: DataFrame, reference: DataFrame | None = None, max_rounds
     else:
         pool = nearest_reference(pool, "spelling", reference, max_entries=MAX_ENTRIES)
     read = _read_forms(pool.select("spelling", "weight", "ref_id"))
-    form_id = F.concat_ws("~", "kind", F.concat_ws("+", "names"), F.concat_ws("+", "initials"))
-    read = read.withColumn("form", F.when(F.col("ref_id") > 0, F.concat(F.lit("ref~"), F.col("ref_id"))).otherwise(form_id))
+    form_id = F.xxhash64("kind", "names", "initials")
+    read = read.withColumn("form", F.when(F.col("ref_id") > 0, F.xxhash64("ref_id", F.lit("ref"))).otherwise(form_id))
     read = cut(read.select("spelling", "weight", "form", "kind", "names", "initials", (F.col("ref_id") > 0).alias("listed")))
     forms = read.where("not listed").groupBy("form").agg(F.sum("weight").alias("weight"), F.first("kind").alias("kind"), F.first("names").alias("names"), F.first("initials").alias("initials"))
+    forms = cut(forms)
     keys = cut(_keys(forms))
-    state = cut(forms.withColumn("body", F.col("form")))
+    state = forms.select("form", "weight", (F.size("initials") > 0).alias("short"), F.col("form").alias("body"))
+    names = forms.select("form", "names", "initials")
     for _ in range(max_rounds):
-        links = _round(state, keys)
-        roots = _roots(links)
+        roots = _roots(_round(state, keys, names))
         if roots is None:
             break
         state = cut(state.join(roots, "body", "left").withColumn("body", F.coalesce("root", "body")).drop("root"))
-    bodies = state.select("form", "body")
-    return read.select("spelling", "form").join(bodies, "form", "left").select("spelling", F.coalesce("body", "form").alias("body"))
+    return read.select("spelling", "form").join(state.select("form", "body"), "form", "left").select("spelling", F.coalesce("body", "form").alias("body"))
 
 
-def _round(state: DataFrame, keys: DataFrame) -> DataFrame:
+def _round(state: DataFrame, keys: DataFrame, names: DataFrame) -> DataFrame:
     """(body, parent): each profile's heaviest matching profile among the heaviest of its blocks, heavier than itself."""
     weights = state.groupBy("body").agg(F.sum("weight").alias("w"))
-    rank = F.struct("w", F.col("body"))
-    profiles = state.join(weights, "body").select("form", "body", "names", "initials", "w", rank.alias("rank"), F.struct("weight", "form").alias("own"))
-    entered = keys.join(profiles.select("form", "body", "rank", "own", "names", "initials"), "form")
-    # Of each block: the heaviest profile, its heaviest form with a key there, and whether an initial could mean two profiles.
+    profiles = state.join(weights, "body").select("form", "body", "short", F.struct("w", "body").alias("rank"), "weight")
+    entered = keys.join(profiles, "form")
+    # Of each block: the heaviest profile, its heaviest form there, and whether an initial could mean two profiles.
+    whole = F.when(~F.col("short"), F.col("body"))
     heads = entered.groupBy("key").agg(
-        F.max_by(F.struct("body", "rank", "names", "initials"), F.struct("rank", "own")).alias("head"),
-        F.max_by("body", F.struct("rank", "own")).alias("first_body"),
-        F.min(F.when(F.size("initials") == 0, F.col("body"))).alias("low"), F.max(F.when(F.size("initials") == 0, F.col("body"))).alias("high"),
-        F.count(F.lit(1)).alias("n"),
-    ).where("n > 1")
-    heads = heads.select("key", "head", (F.coalesce("low", F.lit("")) == F.coalesce("high", F.lit(""))).alias("single"))
-    met = entered.join(heads, "key").where(F.col("rank") < F.col("head.rank"))
-    met = met.where((F.size("initials") == 0) & (F.size("head.initials") == 0) | F.col("single"))
-    pairs = met.groupBy("form", F.col("head.body").alias("parent"), F.col("head.names").alias("p_names"), F.col("head.initials").alias("p_initials")).agg(
-        F.first("body").alias("body"), F.first("names").alias("names"), F.first("initials").alias("initials"), F.first("head.rank").alias("p_rank"))
-    good = pairs.where(_matching()("names", "initials", "p_names", "p_initials"))
-    return good.groupBy("body").agg(F.max_by("parent", "p_rank").alias("parent"))
+        F.max(F.struct("rank", "weight", "form", "short")).alias("head"), F.min("body").alias("low"), F.max("body").alias("high"),
+        F.min(whole).alias("low_whole"), F.max(whole).alias("high_whole"),
+    ).where("low <> high")
+    heads = heads.select("key", "head", F.coalesce(F.col("low_whole") == F.col("high_whole"), F.lit(True)).alias("single"))
+    met = entered.join(heads, "key").where(F.col("rank") < F.col("head.rank")).where(~F.col("short") & ~F.col("head.short") | F.col("single"))
+    pairs = met.select("form", "body", F.col("head.form").alias("p_form"), F.col("head.rank").alias("p_rank")).distinct()
+    side = lambda k: names.select(F.col("form").alias(f"{k}form"), F.col("names").alias(f"{k}names"), F.col("initials").alias(f"{k}initials"))
+    shown = pairs.join(names, "form").join(side("p_"), "p_form")
+    good = shown.where(_matching()("names", "initials", "p_names", "p_initials"))
+    return good.groupBy("body").agg(F.max("p_rank").alias("best")).select("body", F.col("best.body").alias("parent"))
 
 
 def _roots(links: DataFrame) -> DataFrame | None:
