@@ -54,35 +54,51 @@ def archive_controls(files: DataFrame, skip: str = "Test Form") -> DataFrame:
 
 
 class _Tables(HTMLParser):
+    """Rows of all tables, with the table's classes and the h2 heading that stands directly before it."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[int, int, list[str]]] = []
-        self.table, self.row, self.cell, self.depth = -1, -1, None, 0
+        self.rows: list[tuple[int, str, str, int, list[str]]] = []
+        self.table, self.row, self.depth = -1, -1, 0
+        self.cell: list[str] | None = None
+        self.title: list[str] | None = None
+        self.heading, self.classes, self.before = "", "", ""
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.table, self.row, self.depth = self.table + 1, -1, self.depth + 1
+            self.classes, self.before, self.heading = dict(attrs).get("class") or "", self.heading, ""
+        elif tag == "h2":
+            self.title = []
         elif tag == "tr" and self.depth:
             self.row += 1
-            self.rows.append((self.table, self.row, []))
+            self.rows.append((self.table, self.classes, self.before, self.row, []))
         elif tag in ("td", "th") and self.rows and self.depth:
             self.cell = []
 
     def handle_endtag(self, tag):
         if tag == "table":
-            self.depth -= 1
+            self.depth = max(0, self.depth - 1)
+        elif tag == "h2" and self.title is not None:
+            self.heading, self.title = re.sub(r"\s+", " ", "".join(self.title)).strip(), None
         elif tag in ("td", "th") and self.cell is not None:
-            self.rows[-1][2].append(re.sub(r"\s+", " ", "".join(self.cell)).strip())
+            self.rows[-1][4].append(re.sub(r"\s+", " ", "".join(self.cell)).strip())
             self.cell = None
 
     def handle_data(self, data):
         if self.cell is not None:
             self.cell.append(data)
+        elif self.title is not None:
+            self.title.append(data)
 
 
 def html_rows(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, table_no, row_no, cells array) for each row of each HTML table; null pages give no rows."""
+    """(id, table_no, table_class, heading, row_no, cells) for each row of each HTML table; null pages give no rows.
+
+    heading is the h2 with no other table between it and this one, else ''. Comments are not text.
+    """
     kind = dict(df.dtypes)[id_col]
+    names = [id_col, "table_no", "table_class", "heading", "row_no", "cells"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -90,7 +106,7 @@ def html_rows(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
             for key, page in zip(batch[id_col], batch[html_col]):
                 parser = _Tables()
                 parser.feed(page or "")
-                out += [(key, t, r, c) for t, r, c in parser.rows]
-            yield pd.DataFrame(out, columns=[id_col, "table_no", "row_no", "cells"])
+                out += [(key, *r) for r in parser.rows]
+            yield pd.DataFrame(out, columns=names)
 
-    return df.select(id_col, html_col).mapInPandas(run, f"{id_col} {kind}, table_no int, row_no int, cells array<string>")
+    return df.select(id_col, html_col).mapInPandas(run, f"`{id_col}` {kind}, table_no int, table_class string, heading string, row_no int, cells array<string>")

@@ -87,9 +87,9 @@ def test_archive(spark):
 
 
 def test_html_rows(spark):
-    page = "<table><tr><th>N</th></tr><tr><td>a <b>b</b></td><td></td></tr></table>"
+    page = "<h2>Spain</h2><!-- c --><table class='wikitable sortable'><tr><th>N</th></tr><tr><td>a <b>b</b></td><td></td></tr></table><table><tr><td>z</td></tr></table>"
     got = docs.html_rows(spark.createDataFrame([(1, page), (2, None)], "id int, html string"), "id", "html").collect()
-    assert [tuple(r) for r in got] == [(1, 0, 0, ["N"]), (1, 0, 1, ["a b", ""])]
+    assert [tuple(r) for r in got] == [(1, 0, "wikitable sortable", "Spain", 0, ["N"]), (1, 0, "wikitable sortable", "Spain", 1, ["a b", ""]), (1, 1, "", "", 0, ["z"])]
 
 
 def test_adjacent_across_stretches(spark):
