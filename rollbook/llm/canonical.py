@@ -138,7 +138,7 @@ class ReferenceIndex:
                 if d <= allowance(w) and (w not in found or d < found[w]):
                     found[w] = d
             known = self.near[word] = sorted(found.items(), key=lambda x: x[1])
-            if len(self.near) > 500_000:
+            if len(self.near) > 100_000:
                 self.near.clear()
         return known
 
@@ -162,7 +162,7 @@ class ReferenceIndex:
     def memo_lookup(self, text: str) -> tuple[int, int]:
         """lookup() with the values of this worker remembered; the memory is emptied, never trusted to be complete."""
         if (known := self.memo.get(text)) is None:
-            if len(self.memo) > 300_000:
+            if len(self.memo) > 50_000:
                 self.memo.clear()
             known = self.memo[text] = self.lookup(text)
         return known

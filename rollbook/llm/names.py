@@ -127,7 +127,7 @@ def allowance(word: str) -> int:
     return 0 if n <= 3 else 1 if n <= 5 else 2 if n <= 11 else 3
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def generic(word: str) -> str | None:
     """The generic word that a folded word stands for, or None."""
     return _lookup(word, _ALIASES, _GENERIC_TRIE)
@@ -178,7 +178,7 @@ def _is_aside(words: list[str]) -> bool:
     return bool(PART_HEADS & set(parts)) or parts in (["law"], ["law", "school"], ["school", "law"], ["institute", "law"], ["law", "institute"])
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def read_name(text: str) -> Typed:
     """Main words of a typed name; empty when nothing but asides, placeholders or ids is left."""
     text = repair(text)

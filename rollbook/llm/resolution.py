@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from rollbook.llm.automaton import distance
 from rollbook.llm.canonical import MAX_ENTRIES, nearest_reference
 from rollbook.llm.names import allowance, generic, read_name
-from rollbook.session import cut
+from rollbook.session import cut, spread
 
 # Kinds of firms; placeholders that denote nothing.
 FIRM_KINDS = frozenset("holding capital media energy logistics advisers legal affairs".split())
@@ -163,6 +163,7 @@ def resolve(spellings: DataFrame, reference: DataFrame | None = None, max_rounds
     spellings: strings `spelling`, repeats add up their bigint `weight`. reference: entries whose alias paths open profiles.
     """
     pool = spellings.where("spelling is not null and spelling <> ''").groupBy("spelling").agg(F.sum("weight").alias("weight"))
+    pool = spread(pool, "spelling")
     if reference is None:
         pool = pool.withColumn("ref_id", F.lit(0))
     else:
@@ -172,7 +173,7 @@ def resolve(spellings: DataFrame, reference: DataFrame | None = None, max_rounds
     read = read.withColumn("form", F.when(F.col("ref_id") > 0, F.xxhash64("ref_id", F.lit("ref"))).otherwise(form_id))
     read = cut(read.select("spelling", "weight", "form", "kind", "names", "initials", (F.col("ref_id") > 0).alias("listed")))
     forms = read.where("not listed").groupBy("form").agg(F.sum("weight").alias("weight"), F.first("kind").alias("kind"), F.first("names").alias("names"), F.first("initials").alias("initials"))
-    forms = cut(forms)
+    forms = cut(spread(forms, "form"))
     keys = cut(_keys(forms))
     state = forms.select("form", "weight", (F.size("initials") > 0).alias("short"), F.col("form").alias("body"))
     names = forms.select("form", "names", "initials")
