@@ -143,7 +143,8 @@ def _keys(forms: DataFrame) -> DataFrame:
                 ks = block_keys(k, list(n), list(i))
                 keys += ks
                 ids += [f] * len(ks)
-            yield pd.DataFrame({"form": ids, "key": keys})
+            if ids:  # an empty string column has no Arrow array
+                yield pd.DataFrame({"form": ids, "key": keys})
 
     keys = forms.select("form", "kind", "names", "initials").mapInPandas(run, "form bigint, key string").select("form", F.xxhash64("key").alias("key"))
     shared = keys.groupBy("key").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("key")
