@@ -48,7 +48,8 @@ def archive_controls(files: DataFrame, skip: str = "Test Form") -> DataFrame:
                     rows.append((None, None, None, None, str(e)))
             out = pd.DataFrame(rows, columns=["entry", "pos", "alias", "text", "error"])
             out["pos"] = out["pos"].astype("Int32")
-            yield out
+            if len(out):  # an empty string column has no Arrow array
+                yield out
 
     return files.select("content").mapInPandas(run, "entry string, pos int, alias string, text string, error string")
 
@@ -107,6 +108,7 @@ def html_rows(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
                 parser = _Tables()
                 parser.feed(page or "")
                 out += [(key, *r) for r in parser.rows]
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return df.select(id_col, html_col).mapInPandas(run, f"`{id_col}` {kind}, table_no int, table_class string, heading string, row_no int, cells array<string>")

@@ -92,6 +92,13 @@ def test_html_rows(spark):
     assert [tuple(r) for r in got] == [(1, 0, "wikitable sortable", "Spain", 0, ["N"]), (1, 0, "wikitable sortable", "Spain", 1, ["a b", ""]), (1, 1, "", "", 0, ["z"])]
 
 
+def test_batches_without_rows(spark):
+    assert docs.html_rows(spark.createDataFrame([(1, "<p>none</p>")], "id int, html string"), "id", "html").collect() == []
+    empty = io.BytesIO()
+    zipfile.ZipFile(empty, "w").close()
+    assert docs.archive_controls(spark.createDataFrame([(empty.getvalue(),)], "content binary")).collect() == []
+
+
 def test_adjacent_across_stretches(spark):
     rows = [("p", i, "ab"[i % 3 == 1]) for i in (0, 1, 5, 7, 30, 31, 34)] + [(None, 2, "a"), (None, 900, "b"), ("q", 3, "a")]
     df = spark.createDataFrame(rows, "k string, o int, v string")
