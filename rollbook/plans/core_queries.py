@@ -14,9 +14,10 @@ query = REG.query
 _PEOPLE = "(select * from (select *, row_number() over (partition by name order by appt_id) rn from commissioner_appointments where name is not null) where rn = 1)"
 
 
-def people(t):
-    """One row per named person of the appointments, first seen wins."""
-    return mt.first_rows(t.commissioner_appointments.where("name is not null"), ["name"], F.col("appt_id"))
+def people(t, *columns):
+    """One row per named person of the appointments, first seen wins; only the columns asked for are read."""
+    rows = t.commissioner_appointments.where("name is not null").select("appt_id", "name", *columns)
+    return mt.first_rows(rows, ["name"], F.col("appt_id")).drop("appt_id")
 
 
 # Joins
@@ -25,7 +26,7 @@ def people(t):
 select r.roster_id, r.name, r.portfolio, p.name as name_appt, p.country_code
 from commission_i_2019_2024 r left join {_PEOPLE} p on upper(r.name) = upper(p.name)""")
 def _(t):
-    right = people(t).select("name", "country_code")
+    right = people(t, "country_code")
     return mt.normalized_left_join(t.commission_i_2019_2024.select("roster_id", "name", "portfolio"), right, "name", "name", "_appt")
 
 
@@ -343,7 +344,7 @@ select r.commission, cast(count(*) as bigint) as size, {', '.join(f"cast(count(*
 from (select distinct commission, name from commissioner_education where name is not null and commission is not null) r left join {_PEOPLE} p on p.name = r.name group by 1""")
 def _(t):
     roster = t.commissioner_education.where("name is not null and commission is not null").select("commission", "name").distinct()
-    return ag.cohort_trends(roster, people(t), "commission", "name", _FLAGS)
+    return ag.cohort_trends(roster, people(t, *_FLAGS), "commission", "name", _FLAGS)
 
 
 @query("union_sections", """
@@ -514,3 +515,68 @@ select m.raw_id, m.name, min(c.cv_id) as cv_id from cjeu_members_raw m left join
 def _(t):
     cv = t.cjeu_cv_data.groupBy(F.upper("name").alias("k")).agg(F.min("cv_id").alias("cv_id"))
     return t.cjeu_members_raw.select("raw_id", "name", F.upper("name").alias("k")).join(cv, "k", "left").drop("k")
+
+
+# Education clusters of the test tables' kinds of institution, in order of their names.
+CLUSTERS = (("Business", "Business School"), ("Economics", "School of Economics"), ("European", "College of European Studies"), ("State", "National School of Administration"), ("Technical", "Technical University"))
+
+
+def _cluster_sql(column):
+    return " || ".join(f"case when contains({column}, '{word}') then '{label} | ' else '' end" for label, word in CLUSTERS)
+
+
+@query("education_clusters", f"""
+select name, rtrim({_cluster_sql('joined')}, ' |') as clusters, {' or '.join(f"contains(joined, '{w}')" for _, w in CLUSTERS)} as any_elite
+from (select name, coalesce(string_agg(institution, ' || ' order by edu_id), '') as joined from commissioner_education where name is not null group by 1)""")
+def _(t):
+    """Sorted clusters of each person's schools, and whether there is any."""
+    e = t.commissioner_education.where("name is not null")
+    hit = lambda word: F.coalesce(F.bool_or(F.contains(F.col("institution"), F.lit(word))), F.lit(False))
+    flags = e.groupBy("name").agg(*[hit(w).alias(label) for label, w in CLUSTERS])
+    clusters = F.array_join(F.array_compact(F.array(*[F.when(F.col(label), label) for label, _ in CLUSTERS])), " | ")
+    return flags.select("name", clusters.alias("clusters"), (clusters != "").alias("any_elite"))
+
+
+@query("institution_normalised", """
+select e.edu_id, coalesce(r.short_name, e.institution) as institution_short from commissioner_education e
+left join reference_names r on r.canonical_name = e.institution""")
+def _(t):
+    """A dictionary too large for a literal map: left join on the reference list, identity by default."""
+    short = t.reference_names.select(F.col("canonical_name").alias("institution"), "short_name")
+    return t.commissioner_education.select("edu_id", "institution").join(short, "institution", "left").select("edu_id", F.coalesce("short_name", "institution").alias("institution_short"))
+
+
+@query("person_ties_ranked", """
+select name, cast(count(distinct x) as bigint) as ties from (select name, unnest(string_split(atlanticist_orgs, ' | ')) as x from commissioner_appointments where name is not null and atlanticist_orgs <> '')
+where x <> '' group by 1""")
+def _(t):
+    a = t.commissioner_appointments.where("name is not null").select("name", "atlanticist_orgs")
+    return mv.explode_list(a, "atlanticist_orgs", " | ", val="org").groupBy("name").agg(F.count_distinct("org").alias("ties"))
+
+
+@query("org_by_cohort_total", """
+select commission, coalesce(x, 'TOTAL') as org, cast(count(distinct name) as bigint) as n from
+(select commission, name, unnest(string_split(atlanticist_orgs, ' | ')) as x from commissioner_appointments where name is not null and commission is not null and atlanticist_orgs <> '') where x <> ''
+group by grouping sets ((commission, x), (commission))""")
+def _(t):
+    """Persons per organisation in each cohort and, as TOTAL, over all its organisations."""
+    a = t.commissioner_appointments.where("name is not null and commission is not null").select("commission", "name", "atlanticist_orgs")
+    edges = mv.explode_list(a, "atlanticist_orgs", " | ", val="org").select("commission", "name", "org")
+    each = edges.groupBy("commission", "org").agg(F.count_distinct("name").alias("n"))
+    total = edges.groupBy("commission").agg(F.count_distinct("name").alias("n")).withColumn("org", F.lit("TOTAL"))
+    return each.unionByName(total)
+
+
+@query("status_counters", """
+select cast(count(*) as bigint) as rows, cast(count(*) filter (where date is null or date = '') as bigint) as no_date,
+ cast(count(*) filter (where date <> '' and year is null) as bigint) as no_year, cast(count(*) filter (where coalesce(name, '') = '') as bigint) as no_name from commission_revolving_door""")
+def _(t):
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return t.commission_revolving_door.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(blank("date")).alias("no_date"), F.count_if(~blank("date") & F.col("year").isNull()).alias("no_year"), F.count_if(blank("name")).alias("no_name"))
+
+
+@query("url_query_string", "select roster_id, 'name=' || url_encode(name) as q from commission_i_2019_2024 where name is not null and not contains(name, ' ')")
+def _(t):
+    named = t.commission_i_2019_2024.where(F.col("name").isNotNull() & ~F.contains(F.col("name"), F.lit(" ")))
+    return named.select("roster_id", F.concat(F.lit("name="), F.url_encode("name")).alias("q"))

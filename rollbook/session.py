@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, app: str = "rollbook", memory: str = "8g") -> SparkSession:
@@ -47,10 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """df over all cores before costly Python work on few bytes; a fixed number of partitions is not coalesced again."""
+    """df over all cores before costly Python work on few bytes.
+
+    A fixed number of partitions is not coalesced again; a hash of the columns is no partitioning the planner could take as given.
+    """
     spark = df.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    return df.repartition(n, *columns)
+    return df.repartition(n, F.xxhash64(*columns))
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
