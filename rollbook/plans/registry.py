@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.session import read_table
+from rollbook.session import importable, read_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        importable(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)

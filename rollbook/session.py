@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def local_session(cores: int = 8, app: str = "rollbook", memory: str = "8g") ->
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers started from now on look for this package where the driver found it, wherever they were started.
+
+    On a cluster the package is installed at that path on every machine, or shipped with --py-files.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by spark.checkpoint.dir; a temporary one only when a local session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
