@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import ahocorasick
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,26 +52,45 @@ def first_match_lookup(names: DataFrame, entities: DataFrame, name: str, entity_
     return names.join(hits, name, "left")
 
 
+#: Keywords per automaton; a longer list is searched block by block.
+MAX_KEYWORDS = 100_000
+
+
 def keyword_hits(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: str, key_col: str) -> DataFrame:
-    """Distinct (id, keyword) with the lower-cased keyword inside the lower-cased text.
+    """Distinct (id, keyword) with the lower-cased keyword inside the lower-cased text, also in the middle of words.
 
-    The keyword list is a dimension: the driver checks its size, then the theta test runs against a broadcast copy;
-    a list beyond `MAX_KEYWORDS` goes through a word index instead (first word of the keyword joined by equality).
+    A multi-pattern automaton reads each text once, however many keywords there are; it is rebuilt by each Python worker from a
+    broadcast block of at most MAX_KEYWORDS. Null texts and empty keywords have no hits.
     """
-    keys = keywords.select(key_col).where(F.col(key_col) != "").distinct()
-    rows = texts.select(id_col, F.lower(text_col).alias("_t"))
-    if keys.limit(MAX_KEYWORDS + 1).count() <= MAX_KEYWORDS:
-        return rows.join(F.broadcast(keys), F.col("_t").contains(F.lower(key_col))).select(id_col, key_col).distinct()
-    word = F.regexp_extract(F.lower(key_col), r"(?U)\w+", 0)
-    words = rows.select(id_col, "_t", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"(?U)(\w+)")))).alias("_w"))
-    # A keyword may begin inside a word of the text, so words are matched by their suffixes.
-    words = words.select(id_col, "_t", F.explode(F.expr("transform(sequence(1, length(_w)), i -> substring(_w, i))")).alias("_w"))
-    first = keys.withColumn("_first", word)
-    inside = words.join(first, F.col("_w").startswith(F.col("_first")) & (F.substring("_w", 1, 3) == F.substring("_first", 1, 3)))
-    return inside.where(F.col("_t").contains(F.lower(key_col))).select(id_col, key_col).distinct()
-
-
-MAX_KEYWORDS = 20_000
+    keys = keywords.select(F.col(key_col).alias("k"), F.lower(key_col).alias("low")).where("k <> ''").distinct()
+    blocks = max(1, -(-keys.count() // MAX_KEYWORDS))
+    rows = texts.select(id_col, F.lower(text_col).alias("_t")).where("_t is not null")
+    out = None
+    for b in range(blocks):
+        part = keys if blocks == 1 else keys.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
+        shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+        found = rows.select(id_col, F.explode(_finder(shared)("_t")).alias(key_col))
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+_FINDER: list[tuple] = []
+
+
+def _finder(shared: Broadcast) -> Callable[[str], Column]:
+    def find(texts: pd.Series) -> pd.Series:
+        if not _FINDER or _FINDER[0][0] is not shared.value:
+            automaton = ahocorasick.Automaton()
+            for key, low in shared.value:
+                automaton.add_word(low, (*automaton.get(low, ()), key))
+            automaton.make_automaton()
+            _FINDER[:] = [(shared.value, automaton)]
+        automaton = _FINDER[0][1]
+        if not len(automaton):
+            return pd.Series([[] for _ in texts])
+        return pd.Series([sorted({k for _, keys in automaton.iter(t) for k in keys}) for t in texts])
+
+    return F.pandas_udf(find, "array<string>")
 
 
 def adjacent(df: DataFrame, order: str, partition: Sequence[str], kind: str, first: str, second: str, span: int = 1_000_000) -> DataFrame:

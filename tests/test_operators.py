@@ -24,12 +24,14 @@ def test_first_and_last_rows(spark):
     assert {r.k: r.v for r in mt.last_rows(df, ["k"], F.col("o")).collect()} == {"a": "y", None: "n"}
 
 
-def test_keyword_hits_both_ways_agree(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, "The Blue Club met"), (2, "superblue club"), (3, None), (4, "")], "id int, t string")
-    keys = spark.createDataFrame([("blue club",), ("Red",), ("",)], "k string")
-    small = sorted(mt.keyword_hits(texts, keys, "id", "t", "k").collect())
-    monkeypatch.setattr(mt, "MAX_KEYWORDS", 0)
-    assert sorted(mt.keyword_hits(texts, keys, "id", "t", "k").collect()) == small == [(1, "blue club"), (2, "blue club")]
+def test_keyword_hits_in_one_block_and_in_many(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "The Blue Club met"), (2, "superblue clubs"), (3, None), (4, ""), (1, "The blue club")], "id int, t string")
+    keys = spark.createDataFrame([("blue club",), ("Blue Club",), ("Red",), ("",), (None,), ("club",)], "k string")
+    want = [(1, "Blue Club"), (1, "blue club"), (1, "club"), (2, "Blue Club"), (2, "blue club"), (2, "club")]
+    assert sorted(map(tuple, mt.keyword_hits(texts, keys, "id", "t", "k").collect())) == want
+    monkeypatch.setattr(mt, "MAX_KEYWORDS", 2)
+    assert sorted(map(tuple, mt.keyword_hits(texts, keys, "id", "t", "k").collect())) == want
+    assert mt.keyword_hits(texts, keys.limit(0), "id", "t", "k").collect() == []
 
 
 def test_totals_and_pivot(spark):
