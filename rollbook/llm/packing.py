@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity: sum-of-squares online packing.
 
 Items arrive in a fixed pseudo-random order. An array holds, for each fill level, how many open containers stand at it; an item
-goes to the level (or a new container) that makes the sum of the squared counts smallest. When a shard's items are placed, its
-open containers are joined, fullest first, into the tightest that still has room for all of another's content.
+goes to the level (or a new container) that makes the sum of the squared counts smallest. When a shard's items are placed, those of
+the containers that have more than SLACK of their room unused are placed once more, best fit, largest first.
 
 The work is cut into shards of at most `shard_items` items by a hash of the id, so a task never holds more; a shard leaves a few
 open containers only. An item larger than the capacity is divided into full containers and one rest, which is packed like an item.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_ITEMS = 50_000
+SLACK = 0.01
 
 
 def sum_of_squares(sizes: Sequence[int], capacity: int) -> np.ndarray:
@@ -49,30 +50,38 @@ def sum_of_squares(sizes: Sequence[int], capacity: int) -> np.ndarray:
             levels[new] += 2
             source[new] = levels[new]
             at_level[new].append(box)
-    return _join_open(out, np.asarray(fill, dtype=np.int64), capacity)
+    return _refill(out, np.asarray(fill, dtype=np.int64), np.asarray(sizes, dtype=np.int64), capacity)
 
 
-def _join_open(boxes: np.ndarray, fill: np.ndarray, capacity: int) -> np.ndarray:
-    """Contents of open containers moved together, best fit, fullest content first."""
-    opened = np.flatnonzero(fill < capacity)
-    target = np.arange(len(fill))
+def _refill(boxes: np.ndarray, fill: np.ndarray, sizes: np.ndarray, capacity: int, slack: float = SLACK) -> np.ndarray:
+    """Items of the containers with more than `slack` of their room unused, placed again: largest first, tightest room first."""
+    open_ = fill < capacity * (1 - slack)
+    again = np.flatnonzero(open_[boxes])
+    again = again[np.argsort(-sizes[again], kind="stable")]
+    out = boxes.copy()
     room: list[list[int]] = [[] for _ in range(capacity + 1)]
     free = np.zeros(capacity + 1, dtype=bool)
-    for box in opened[np.argsort(-fill[opened], kind="stable")]:
-        size = int(fill[box])
-        fits = np.flatnonzero(free[size:])
-        if len(fits):
-            space = size + int(fits[0])
-            into = room[space].pop()
-            free[space] = bool(room[space])
-            target[box] = into
-            left = space - size
+    for box in np.flatnonzero(~open_ & (fill < capacity)):
+        room[capacity - fill[box]].append(int(box))
+        free[capacity - fill[box]] = True
+    emptied = np.flatnonzero(open_)[::-1].tolist()
+    for k in again:
+        size = int(sizes[k])
+        fits = int(free[size:].argmax()) + size
+        if free[fits]:
+            box = room[fits].pop()
+            free[fits] = bool(room[fits])
+        elif emptied:
+            box, fits = emptied.pop(), capacity
         else:
-            into, left = int(box), capacity - size
+            return boxes  # no gain: the online packing stands
+        out[k] = box
+        left = fits - size
         if left:
-            room[left].append(into)
+            room[left].append(box)
             free[left] = True
-    return target[boxes]
+    used, dense = np.unique(out, return_inverse=True)
+    return dense
 
 
 def pack(items: DataFrame, item_id: str, size: str, specs: DataFrame, spec_id: str = "spec_id", capacity: str = "capacity_tokens", shard_items: int = SHARD_ITEMS) -> DataFrame:
