@@ -89,9 +89,11 @@ class Lexicon:
     def __init__(self, rarity: np.ndarray) -> None:
         self.rarity = rarity
         self.ids: dict[str, int] = {}
-        # Rows: kind (0 end, 1 break, 2 comma, 3 number, 4 word), length, rarity, connective, subordinator, en, de, fr, capital.
-        self.rows: list[tuple] = []
-        self.table = np.zeros((0, 9), dtype=np.float32)
+        # Columns: kind (0 end, 1 break, 2 comma, 3 number, 4 word), length, rarity, connective, subordinator, en, de, fr, capital.
+        self.table = np.zeros((1024, 9), dtype=np.float32)
+
+    def __len__(self) -> int:
+        return len(self.ids)
 
     def id_of(self, token: str) -> int:
         c = token[0]
@@ -106,8 +108,11 @@ class Lexicon:
         else:
             w = token.lower()
             row = (4, len(w), float(self.rarity[bucket(w, len(self.rarity))]), w in _CONN, w in _SUB, w in _SETS["en"], w in _SETS["de"], w in _SETS["fr"], c.isupper())
-        k = self.ids[token] = len(self.rows)
-        self.rows.append(row)
+        k = len(self.ids)
+        if k == len(self.table):
+            self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        self.table[k] = row
+        self.ids[token] = k
         return k
 
     def encode(self, toks: list[str]) -> np.ndarray:
@@ -119,8 +124,6 @@ class Lexicon:
         return np.array(out, dtype=np.int32)
 
     def attributes(self, codes: np.ndarray) -> np.ndarray:
-        if len(self.table) < len(self.rows):
-            self.table = np.array(self.rows, dtype=np.float32)
         return self.table[codes]
 
 
@@ -179,8 +182,8 @@ def features(docs: list[list[str]], lexicon: Lexicon) -> tuple[np.ndarray, np.nd
     use = own | (own_per == 0)[wd]
     m = np.maximum(per(use), 1)
     out[:, 0] = np.where(n > 0, np.log(some), 0)
-    pairs = np.unique(wd * np.int64(len(lexicon.rows)) + codes[word])
-    out[:, 1] = np.bincount(pairs // len(lexicon.rows), minlength=n_docs) / np.sqrt(some)
+    pairs = np.unique(wd * np.int64(len(lexicon)) + codes[word])
+    out[:, 1] = np.bincount(pairs // len(lexicon), minlength=n_docs) / np.sqrt(some)
     out[:, 2] = per(length * use) / m
     for k, least in ((3, 7), (4, 10), (5, 13)):
         out[:, k] = per((length >= least) & use) / m
@@ -265,11 +268,13 @@ def rarity_table(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return np.log(max(table.sum(), 1.0) / np.maximum(table, 1.0)).astype(np.float32)
 
 
+#: Words a worker remembers; its lexicon then starts anew.
+MAX_WORDS = 300_000
 _LEXICON: list[tuple] = []
 
 
 def _lexicon(rarity: np.ndarray) -> Lexicon:
-    if not _LEXICON or _LEXICON[0][0] is not rarity or len(_LEXICON[0][1].rows) > 2_000_000:
+    if not _LEXICON or _LEXICON[0][0] is not rarity or len(_LEXICON[0][1]) > MAX_WORDS:
         _LEXICON[:] = [(rarity, Lexicon(rarity))]
     return _LEXICON[0][1]
 
