@@ -29,7 +29,6 @@ from rollbook.session import cut, spread
 # Kinds of firms; placeholders that denote nothing.
 FIRM_KINDS = frozenset("holding capital media energy logistics advisers legal affairs".split())
 PLACEHOLDERS = frozenset(("yes", "no", "unknown", "tbc", "none", "n a", "see cv", "cv see", "not applicable", "self taught", "not stated", "applicable not", "na", "a n", "not recorded", "various", "private", "other"))
-MAX_ROUNDS = 12
 
 
 def form_of(text: str) -> tuple[str, list[str], list[str]] | None:
@@ -158,7 +157,7 @@ def _matching() -> Column:
     return F.pandas_udf(run, "boolean")
 
 
-def resolve(spellings: DataFrame, reference: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def resolve(spellings: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """(spelling, weight) -> (spelling, body): spellings of one body carry the same body id.
 
     spellings: strings `spelling`, repeats add up their bigint `weight`. reference: entries whose alias paths open profiles.
@@ -178,10 +177,7 @@ def resolve(spellings: DataFrame, reference: DataFrame | None = None, max_rounds
     keys = cut(_keys(forms))
     state = forms.select("form", "weight", (F.size("initials") > 0).alias("short"), F.col("form").alias("body"))
     names = forms.select("form", "names", "initials")
-    for _ in range(max_rounds):
-        roots = _roots(_round(state, keys, names))
-        if roots is None:
-            break
+    while (roots := _roots(_round(state, keys, names))) is not None:  # every round leaves fewer profiles
         state = cut(state.join(roots, "body", "left").withColumn("body", F.coalesce("root", "body")).drop("root"))
     return read.select("spelling", "form").join(state.select("form", "body"), "form", "left").select("spelling", F.coalesce("body", "form").alias("body"))
 
