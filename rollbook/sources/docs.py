@@ -54,6 +54,33 @@ def archive_controls(files: DataFrame, skip: str = "Test Form") -> DataFrame:
     return files.select("content").mapInPandas(run, "entry string, pos int, alias string, text string, error string")
 
 
+def pdf_texts(files: DataFrame, name: str = "path") -> DataFrame:
+    """binaryFile rows of PDF files -> (name, text, error): page texts joined by line breaks, empty pages left out.
+
+    The PDF library is optional; without it, and for files it cannot read, text is null and error says why.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            from pypdf import PdfReader
+        except ImportError:
+            PdfReader = None
+        for batch in batches:
+            rows = []
+            for key, content in zip(batch[name], batch["content"]):
+                try:
+                    if PdfReader is None:
+                        raise ValueError("no PDF library installed")
+                    pages = [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
+                    rows.append((key, "\n".join(p for p in pages if p.strip()), None))
+                except Exception as e:  # noqa: BLE001 - one broken file must not end the job
+                    rows.append((key, None, f"{type(e).__name__}: {e}"))
+            if rows:
+                yield pd.DataFrame(rows, columns=[name, "text", "error"])
+
+    return files.select(name, "content").mapInPandas(run, f"`{name}` string, text string, error string")
+
+
 class _Tables(HTMLParser):
     """Rows of all tables, with the table's classes and the h2 heading that stands directly before it."""
 

@@ -94,6 +94,11 @@ def test_html_rows(spark):
     assert [tuple(r) for r in got] == [(1, 0, "wikitable sortable", "Spain", 0, ["N"]), (1, 0, "wikitable sortable", "Spain", 1, ["a b", ""]), (1, 1, "", "", 0, ["z"])]
 
 
+def test_broken_pdf_goes_aside(spark):
+    r = docs.pdf_texts(spark.createDataFrame([("a.pdf", b"no pdf")], "path string, content binary")).first()
+    assert r.path == "a.pdf" and r.text is None and r.error
+
+
 def test_batches_without_rows(spark):
     assert docs.html_rows(spark.createDataFrame([(1, "<p>none</p>")], "id int, html string"), "id", "html").collect() == []
     empty = io.BytesIO()
