@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.session import cut
+
 SHARD_ITEMS = 50_000
 LEAST = 0.25
 LARGE = 200
@@ -113,8 +115,6 @@ def mix(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: DataFra
     rows = [(r[0], float(r[1] or 0), int(r[2] or 0)) for r in targets.select(normal_source(F.col("source")), "target_share", "max_repeats").limit(10_001).collect() if r[0]]
     if len(rows) > 10_000 or len({r[0] for r in rows}) < len(rows):
         raise ValueError("targets: at most 10,000 sources, each once")
-    from rollbook.session import cut
-
     slim = docs.select(F.col(doc_id).alias("doc"), normal_source(F.col(source)).alias("src"), F.col(tokens).cast("bigint").alias("n"))
     slim = cut(slim.where(F.col("src").isin([r[0] for r in rows])) if rows else slim.where("false"))
     supply = {r[0]: (int(r[1] or 0), int(r[2])) for r in slim.groupBy("src").agg(F.sum("n"), F.count(F.lit(1))).collect()}
@@ -167,7 +167,8 @@ def mix(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: DataFra
 def share_report(mixed: DataFrame, targets: DataFrame, tokens: str) -> DataFrame:
     """Per target: its share, documents, copies and tokens used, the share reached. Targets without documents show 0."""
     used = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"), F.sum(F.col(tokens) * F.col("copies")).alias("tokens"))
-    whole = used.agg(F.sum("tokens").alias("all_tokens"))
-    listed = targets.select(normal_source(F.col("source")).alias("source"), "target_share", "max_repeats").join(used, "source", "left").crossJoin(F.broadcast(whole))
+    used = cut(used)
+    whole = used.agg(F.sum("tokens")).first()[0] or 0
+    listed = targets.select(normal_source(F.col("source")).alias("source"), "target_share", "max_repeats").join(used, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return listed.select("source", "target_share", "max_repeats", *[zero(c) for c in ("docs", "copies", "most_copies", "tokens")], F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("reached_share"))
+    return listed.select("source", "target_share", "max_repeats", *[zero(c) for c in ("docs", "copies", "most_copies", "tokens")], F.round(F.coalesce(F.col("tokens") / F.nullif(F.lit(whole), F.lit(0)), F.lit(0.0)), 6).alias("reached_share"))
