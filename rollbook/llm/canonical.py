@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.automaton import WordTrie
-from rollbook.llm.names import DEGREES, allowance, fold, generic, read_name
+from rollbook.llm.names import DEGREES, fold, generic, read_name
 from rollbook.session import fresh
 
 #: Entries per trie; a longer list is searched block by block and the nearest entry over all blocks wins.
@@ -40,6 +40,12 @@ class Entry:
     city: str | None
 
 
+def reach(word: str) -> int:
+    """Levenshtein distance allowed to a word of the list; wide, as all words of a value must fit one path."""
+    n = len(word)
+    return 0 if n <= 3 else 1 if n <= 5 else 2 if n <= 7 else 3
+
+
 def plain_words(text: str) -> list[str]:
     return list(read_name(text).words)
 
@@ -134,8 +140,8 @@ class ReferenceIndex:
             found: dict[str, int] = {}
             if g := generic(word):
                 found |= dict.fromkeys(self.generics.get(g, ()), 0)
-            for w, d in self.words.search(word, allowance(word + "__") if len(word) > 3 else 0):
-                if d <= allowance(w) and (w not in found or d < found[w]):
+            for w, d in self.words.search(word, reach(word + "__") if len(word) > 3 else 0):
+                if d <= reach(w) and (w not in found or d < found[w]):
                     found[w] = d
             known = self.near[word] = sorted(found.items(), key=lambda x: x[1])
             if len(self.near) > 100_000:
