@@ -1,13 +1,14 @@
 """Variant spellings of bodies typed by people: merge-and-rematch resolution.
 
 A spelling is read into a form: its generic words (what kind of body), its name words, an initial standing for a name word it
-abbreviates, and its acronym. Spellings of one form, and those that a reference entry explains, start as one profile.
-A round blocks every profile under the keys of all its forms, matches it in each block with the block's heaviest profile, and
-lets it join the heaviest match. Joined profiles carry the union of their spellings and initials, re-enter blocking with the
+abbreviates, and its acronym. Spellings of one form, and those that a reference entry explains, start as one profile; each
+keeps its own form, so that listed profiles are blocked and matched like all others. Two profiles of different entries never join.
+A round blocks every profile under the keys of all its forms, matches it in each block with the block's heaviest unlisted profile
+and with the listed ones, and lets it join the heaviest match, listed ones first. Joined profiles carry the union of their spellings and initials, re-enter blocking with the
 keys of all of them and match on any of them, until a round joins nothing.
 
-A block is reduced to its heaviest profile by an aggregate, so candidates grow with the number of keys and no block is ever
-expanded into pairs.
+A block is reduced by an aggregate to its heaviest profile and one for each entry in it, so candidates grow with the number of
+keys and no block is ever expanded into pairs.
 
 Cases: null and empty spellings are no records; placeholders, degrees and bare ids stay unlinked; equal spellings are one
 record whose weights add up; ties go to the smaller id.
@@ -133,21 +134,23 @@ def _read_forms(spellings: DataFrame) -> DataFrame:
 
 
 def _keys(forms: DataFrame) -> DataFrame:
-    """(form, key) of the block keys that more than one form has."""
+    """(form, key) of the block keys that forms of more than one starting profile have."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, keys = [], []
-            for f, k, n, i in zip(b["form"], b["kind"], b["names"], b["initials"]):
+            ids, bodies, keys = [], [], []
+            for f, o, k, n, i in zip(b["form"], b["body"], b["kind"], b["names"], b["initials"]):
                 ks = block_keys(k, list(n), list(i))
                 keys += ks
                 ids += [f] * len(ks)
+                bodies += [o] * len(ks)
             if ids:  # an empty string column has no Arrow array
-                yield pd.DataFrame({"form": ids, "key": keys})
+                yield pd.DataFrame({"form": ids, "body": bodies, "key": keys})
 
-    keys = forms.select("form", "kind", "names", "initials").mapInPandas(run, "form bigint, key string").select("form", F.xxhash64("key").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("key")
-    return keys.join(shared, "key", "left_semi")
+    readable = forms.where("kind is not null").select("form", "body", "kind", "names", "initials")
+    keys = readable.mapInPandas(run, "form bigint, body bigint, key string").select("form", "body", F.xxhash64("key").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("key")
+    return keys.drop("body").join(shared, "key", "left_semi")
 
 
 def _matching() -> Column:
@@ -169,32 +172,40 @@ def resolve(spellings: DataFrame, reference: DataFrame | None = None) -> DataFra
     else:
         pool = nearest_reference(pool, "spelling", reference, max_entries=MAX_ENTRIES)
     read = _read_forms(pool.select("spelling", "weight", "ref_id"))
-    form_id = F.xxhash64("kind", "names", "initials")
-    read = read.withColumn("form", F.when(F.col("ref_id") > 0, F.xxhash64("ref_id", F.lit("ref"))).otherwise(form_id))
-    read = cut(read.select("spelling", "weight", "form", "kind", "names", "initials", (F.col("ref_id") > 0).alias("listed")))
-    forms = read.where("not listed").groupBy("form").agg(F.sum("weight").alias("weight"), F.first("kind").alias("kind"), F.first("names").alias("names"), F.first("initials").alias("initials"))
-    forms = cut(spread(forms, "form"))
+    listed = F.col("ref_id") > 0
+    form = F.when(listed, F.xxhash64("kind", "names", "initials", "ref_id", F.lit("ref"))).otherwise(F.xxhash64("kind", "names", "initials"))
+    read = cut(read.withColumn("form", form))
+    start = F.when(listed, F.xxhash64("ref_id", F.lit("ref"))).otherwise(F.col("form"))
+    forms = read.groupBy("form").agg(F.sum("weight").alias("weight"), *[F.first(c).alias(c) for c in ("ref_id", "kind", "names", "initials")])
+    forms = cut(spread(forms.withColumn("body", start), "form"))
     keys = cut(_keys(forms))
-    state = forms.select("form", "weight", (F.size("initials") > 0).alias("short"), F.col("form").alias("body"))
+    state = forms.select("form", "weight", "ref_id", (F.size("initials") > 0).alias("short"), "body")
     names = forms.select("form", "names", "initials")
     while (roots := _roots(_round(state, keys, names))) is not None:  # every round leaves fewer profiles
         state = cut(state.join(roots, "body", "left").withColumn("body", F.coalesce("root", "body")).drop("root"))
-    return read.select("spelling", "form").join(state.select("form", "body"), "form", "left").select("spelling", F.coalesce("body", "form").alias("body"))
+    return read.select("spelling", "form").join(state.select("form", "body"), "form").select("spelling", "body")
 
 
 def _round(state: DataFrame, keys: DataFrame, names: DataFrame) -> DataFrame:
-    """(body, parent): each profile's heaviest matching profile among the heaviest of its blocks, heavier than itself."""
-    weights = state.groupBy("body").agg(F.sum("weight").alias("w"))
-    profiles = state.join(weights, "body").select("form", "body", "short", F.struct("w", "body").alias("rank"), "weight")
+    """(body, parent): each profile's heaviest matching profile among the heads of its blocks, heavier than itself.
+
+    Listed profiles rank above all others and have no parent, so a tree of parents holds one entry at most.
+    """
+    weights = state.groupBy("body").agg(F.sum("weight").alias("w"), F.max("ref_id").alias("ref"))
+    rank = F.struct((F.col("ref") > 0).alias("listed"), "w", "body").alias("rank")
+    profiles = state.join(weights, "body").select("form", "body", "short", "ref", rank, "weight")
     entered = keys.join(profiles, "form")
-    # Of each block: the heaviest profile, its heaviest form there, and whether an initial could mean two profiles.
+    # Of each block: the heaviest unlisted and every listed profile with its heaviest form there, and whether an initial could mean two profiles.
     whole = F.when(~F.col("short"), F.col("body"))
-    heads = entered.groupBy("key").agg(
+    heads = entered.groupBy("key", "ref").agg(
         F.max(F.struct("rank", "weight", "form", "short")).alias("head"), F.min("body").alias("low"), F.max("body").alias("high"),
         F.min(whole).alias("low_whole"), F.max(whole).alias("high_whole"),
+    ).groupBy("key").agg(
+        F.collect_list("head").alias("heads"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min("low_whole").alias("low_whole"), F.max("high_whole").alias("high_whole"),
     ).where("low <> high")
-    heads = heads.select("key", "head", F.coalesce(F.col("low_whole") == F.col("high_whole"), F.lit(True)).alias("single"))
-    met = entered.join(heads, "key").where(F.col("rank") < F.col("head.rank")).where(~F.col("short") & ~F.col("head.short") | F.col("single"))
+    heads = heads.select("key", F.explode("heads").alias("head"), F.coalesce(F.col("low_whole") == F.col("high_whole"), F.lit(True)).alias("single"))
+    met = entered.where("ref = 0").join(heads, "key").where(F.col("rank") < F.col("head.rank")).where(~F.col("short") & ~F.col("head.short") | F.col("single"))
     pairs = met.select("form", "body", F.col("head.form").alias("p_form"), F.col("head.rank").alias("p_rank")).distinct()
     side = lambda k: names.select(F.col("form").alias(f"{k}form"), F.col("names").alias(f"{k}names"), F.col("initials").alias(f"{k}initials"))
     shown = pairs.join(names, "form").join(side("p_"), "p_form")

@@ -28,6 +28,18 @@ def test_resolve_groups_spellings(spark):
     assert len(set(got.values())) == len(BODIES)
 
 
+def test_listed_bodies_are_rematched(spark):
+    ref = [(1, "institution", "Royal Naval Academy Harbourg", None, None, None), (2, "institution", "Bentmar Institute", None, None, None), (3, "institution", "Bentmer Institute", None, None, None)]
+    entries = spark.createDataFrame(ref, "ref_id int, kind string, canonical_name string, short_name string, local_name string, city string")
+    # Words in an order that is no rotation are not found in the list; the last spelling meets the body only through the one before.
+    naval = ["Royal Naval Academy Harbourg", "Academy Royal Naval Harbourg", "Academy Royale Naval Harbouurg", "Academy Rroyale Naval Haarbouurg"]
+    rows = [(s, 9 - i) for i, s in enumerate([*naval, "Bentmar Institute", "Bentmer Institute", "Institute Bentmer", "Oldby Institute"])]
+    got = {r.spelling: r.body for r in resolve(spark.createDataFrame(rows, "spelling string, weight bigint"), entries).collect()}
+    assert len({got[s] for s in naval}) == 1
+    assert got["Bentmar Institute"] != got["Bentmer Institute"] == got["Institute Bentmer"]
+    assert len(set(got.values())) == 4
+
+
 def test_empty(spark):
     assert resolve(spark.createDataFrame([], "spelling string, weight bigint")).collect() == []
 
