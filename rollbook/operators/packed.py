@@ -107,9 +107,9 @@ def bare(raw: str, quoted: bool) -> str:
     return _ESCAPED.sub(r"\1", text).strip() if "\\" in text else text
 
 
-def _bare_parts(text: str, kinds: Iterable[str]) -> Iterator[tuple[str, bool]]:
+def _bare_parts(text: str, kinds: Iterable[str], specials: list[tuple[int, int, str]] | None = None) -> Iterator[tuple[str, bool]]:
     """(value, quoted) of the pieces of a text cut at the given kinds."""
-    for begin, end, quoted, _ in _pieces(text, frozenset(kinds)):
+    for begin, end, quoted, _ in _pieces(text, frozenset(kinds), specials):
         yield bare(text[begin:end], quoted), quoted
 
 
@@ -239,42 +239,41 @@ def _trimmed(cell: str, begin: int, end: int) -> tuple[int, int, int]:
     return begin, end, undated
 
 
-def _cover(cell: str, pieces: list[Piece], places: dict[tuple[int, int], tuple[int, int, int]], scorer: Scorer, spans: dict[int, list[int]]) -> tuple[float, list[str]]:
+Single = tuple[int, int, int, str, float]
+
+
+def _single(cell: str, begin: int, end: int, quoted: bool, scorer: Scorer, spans: dict[int, list[int]]) -> Single:
+    """Begin, end, end before its dates, value and cost of a piece taken as one value."""
+    b, e, undated = _trimmed(cell, begin, end)
+    value = cell[b:e]
+    if quoted or "\\" in value:
+        value = bare(value, quoted)
+        return b, e, undated, value, scorer.cost(key_of(value)) if value else 0.0
+    key = cell[b:undated]
+    return b, e, undated, value, 0.0 if not value else scorer.cost(key) if b in spans.get(undated, ()) else scorer.unknown(key)
+
+
+def _cover(cell: str, parts: list[Single], scorer: Scorer, spans: dict[int, list[int]]) -> tuple[float, list[str]]:
     """Least-cost cover of the pieces by values: a single piece, or neighbours that a known span joins, any number of them."""
-    n = len(pieces)
-    edges = []
-    for b, e, _, _ in pieces:
-        if (place := places.get((b, e))) is None:
-            place = places[b, e] = _trimmed(cell, b, e)
-        edges.append(place)
-    first = {b: i for i, (b, _, _) in enumerate(edges)}
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
-    values = []
-    for end in range(1, n + 1):
-        p, (b, e, undated) = pieces[end - 1], edges[end - 1]
-        begins = spans.get(undated, ())
-        raw = cell[b:e]
-        protected = p[2] or "\\" in raw
-        value = bare(raw, p[2]) if protected else raw
-        values.append(value)
-        key = key_of(value) if protected else cell[b:undated]
-        single = (scorer.cost(key) if protected or b in begins else scorer.unknown(key)) if value else 0.0
-        best[end] = (best[end - 1][0] + single, end - 1)
+    first = {p[0]: i for i, p in enumerate(parts)}
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for end, (b, _, undated, _, single) in enumerate(parts):
+        least = (best[end][0] + single, end)
+        begins = spans.get(undated)
         for start in sorted({first[x] for x in begins if x < b and x in first}, reverse=True) if begins else ():
-            joined = cell[edges[start][0] : undated]
+            joined = cell[parts[start][0] : undated]
             known = scorer.cost(joined)
-            if known < scorer.unknown(joined):
-                cost = best[start][0] + known + UNPROTECTED
-                if cost < best[end][0]:
-                    best[end] = (cost, start)
-    out, end = [], n
+            if known < scorer.unknown(joined) and (cost := best[start][0] + known + UNPROTECTED) < least[0]:
+                least = (cost, start)
+        best.append(least)
+    out, end = [], len(parts)
     while end:
         start = best[end][1]
-        joined = values[end - 1] if end - start == 1 else cell[edges[start][0] : edges[end - 1][1]]
+        joined = parts[start][3] if end - start == 1 else cell[parts[start][0] : parts[end - 1][1]]
         if joined:
             out.append(joined)
         end = start
-    return best[n][0], out[::-1]
+    return best[-1][0], out[::-1]
 
 
 def segment(cell: str | None, scorer: Scorer) -> list[str]:
@@ -287,8 +286,9 @@ def segment(cell: str | None, scorer: Scorer) -> list[str]:
         value = bare(cell, quoted)
         return [value] if value else []
     finest = [(0, 0, False, ""), *((s, e, False, m) for s, e, m in specials if m in KINDS)]
-    places = {(a[1], b): _trimmed(cell, a[1], b) for a, b in zip(finest, [*(p[0] for p in finest[1:]), len(cell)])}
-    spans = scorer.spans(cell, {b for b, _, _ in places.values()}, {u for _, _, u in places.values()})
+    places = [_trimmed(cell, a[1], b) for a, b in zip(finest, [*(p[0] for p in finest[1:]), len(cell)])]
+    spans = scorer.spans(cell, {b for b, _, _ in places}, {u for _, _, u in places})
+    singles: dict[tuple[int, int, bool], Single] = {}
     best: tuple[float, list[str]] | None = None
     seen: set[tuple] = set()
     for size in range(len(kinds) + 1):
@@ -298,8 +298,13 @@ def segment(cell: str | None, scorer: Scorer) -> list[str]:
             if shape in seen:
                 continue
             seen.add(shape)
+            parts = []
+            for b, e, quoted, _ in pieces:
+                if (part := singles.get((b, e, quoted))) is None:
+                    part = singles[b, e, quoted] = _single(cell, b, e, quoted, scorer, spans)
+                parts.append(part)
+            cost, values = _cover(cell, parts, scorer, spans)
             fixed = PER_KIND * len({s for _, _, _, s in pieces if s})
-            cost, values = _cover(cell, pieces, places, scorer, spans)
             if best is None or cost + fixed < best[0] - 1e-9:
                 best = (cost + fixed, values)
     return best[1] if best else []
@@ -309,14 +314,14 @@ def _votes(cell: str | None) -> Iterator[tuple[str, float]]:
     """(key, weight) of the values that can be told without a dictionary."""
     if cell is None or not cell.strip():
         return
-    kinds = present_kinds(cell)
+    kinds, specials = present_kinds(cell), _specials(cell)
     strong = [k for k in kinds if k in STRONG]
-    for value, quoted in _bare_parts(cell, strong):
+    for value, quoted in _bare_parts(cell, strong, specials):
         if value:
             yield key_of(value), 1.0 if quoted or not present_kinds(value) else 0.4
     for kind in kinds:
         if kind not in STRONG:
-            for value, quoted in _bare_parts(cell, [*strong, kind]):
+            for value, quoted in _bare_parts(cell, [*strong, kind], specials):
                 if value:
                     yield key_of(value), 1.0 if quoted else 0.4
 
