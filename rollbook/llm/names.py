@@ -89,6 +89,7 @@ _LETTERS = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae
 _DIGITS = str.maketrans("0135", "oles")
 _DOTTED = re.compile(r"\b((?:[A-Za-z]\.){2,})")
 _WORD = re.compile(r"[a-z0-9]+")
+_YEAR = re.compile(r"(?:19|20)\d\d$")
 _SEGMENT = re.compile(r"\s[–—-]\s|[,;()\[\]–—]|\s-$")
 
 
@@ -199,7 +200,8 @@ def read_name(text: str) -> Typed:
             main += words
     while main and main[-1] in LEGAL_FORMS and len(main) > 1:
         aside.append(main.pop())
-    kept = [w for i, w in enumerate(main) if w not in STOP and not (w == "f" and _for(main[i + 1 :]))]
+    named = any(not w.isdigit() for w in main)  # years beside a name are when, not what
+    kept = [w for i, w in enumerate(main) if w not in STOP and not (named and _YEAR.match(w)) and not (w == "f" and _for(main[i + 1 :]))]
     return Typed(tuple(kept), tuple(aside))
 
 
