@@ -7,7 +7,7 @@ query characters equal the trie's character, so they are computed once and share
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 State = tuple[tuple[int, int, int], ...]
 
@@ -54,44 +54,55 @@ def _step(limit: int, state: State, hits: int, left: int) -> tuple[int, State]:
 
 
 class WordTrie:
-    """Words with their characters as paths."""
+    """Words with their characters as paths, one trie for each length of word."""
 
     def __init__(self, words: Iterable[str]) -> None:
-        self.root: dict = {}
+        self.roots: dict[int, dict] = {}
         self.words = set()
         for word in words:
             if word and word not in self.words:
                 self.words.add(word)
-                node = self.root
-                for c in word:
+                node = self.roots.setdefault(len(word), {})
+                for c in word[:-1]:
                     node = node.setdefault(c, {})
-                node[""] = word
+                node[word[-1]] = word
 
-    def search(self, query: str, limit: int) -> list[tuple[str, int]]:
-        """All words within the distance, with their distances."""
-        if limit == 0:
-            return [(query, 0)] if query in self.words else []
+    def search(self, query: str, limit: int, allowed: Callable[[int], int] | None = None) -> list[tuple[str, int]]:
+        """All words within the distance, with their distances; allowed: the distance allowed to words of a length, if less."""
+        n = len(query)
+        out = []
+        for size in range(max(1, n - limit), n + limit + 1):
+            if root := self.roots.get(size):
+                most = limit if allowed is None else min(limit, allowed(size))
+                if most == 0:
+                    if size == n and query in self.words:
+                        out.append((query, 0))
+                elif abs(n - size) <= most:
+                    self._walk(root, size, query, most, out)
+        return out
+
+    @staticmethod
+    def _walk(root: dict, size: int, query: str, limit: int, out: list[tuple[str, int]]) -> None:
         n, span = len(query), 2 * limit + 2
         bits: dict[str, int] = {}
         for k, c in enumerate(query):
             bits[c] = bits.get(c, 0) | 1 << k
-        out = []
-        stack: list[tuple[dict, int, State]] = [(self.root, 0, ((0, 0, 0),))]
+        stack: list[tuple[dict, int, int, State]] = [(root, size - 1, 0, ((0, 0, 0),))]
         mask = (1 << span) - 1
         while stack:
-            node, base, state = stack.pop()
+            node, rest, base, state = stack.pop()
             left = n - base if n - base < span else span
             for c, child in node.items():
-                if c == "":
-                    best = min((e + n - base - i for i, e, t in state if t == 0), default=limit + 1)
-                    if best <= limit:
-                        out.append((child, best))
+                shift, nxt = _step(limit, state, bits.get(c, 0) >> base & mask, left)
+                if not nxt:
                     continue
-                hits = bits.get(c, 0) >> base & mask
-                shift, nxt = _step(limit, state, hits, left)
-                if nxt:
-                    stack.append((child, base + shift, nxt))
-        return out
+                if rest:
+                    # What is left of both must not differ by more than the errors left.
+                    gap = n - base - shift - rest
+                    if any(e + abs(gap - i) <= limit + t for i, e, t in nxt):
+                        stack.append((child, rest - 1, base + shift, nxt))
+                elif (best := min((e + n - base - shift - i for i, e, t in nxt if t == 0), default=limit + 1)) <= limit:
+                    out.append((child, best))
 
 
 def distance(a: str, b: str, limit: int) -> int:

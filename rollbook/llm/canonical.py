@@ -63,9 +63,8 @@ class Entry:
     acronyms: tuple[str, ...] | None = None
 
 
-def reach(word: str) -> int:
-    """Levenshtein distance allowed to a word of the list; wide, as all words of a value must fit one path."""
-    n = len(word)
+def reach(n: int) -> int:
+    """Levenshtein distance allowed to a word of n letters of the list; wide, as all words of a value must fit one path."""
     return 0 if n <= 3 else 1 if n <= 5 else 2 if n <= 7 else 3
 
 
@@ -161,7 +160,7 @@ def alias_paths(e: Entry) -> Iterator[tuple[str, ...]]:
 
 #: (stage, distance, ref_id, acronym): how a value was read, nearer readings first; the acronym where one was corrected.
 Hit = tuple[int, int, int, str]
-WHOLE, WITHOUT_DEGREE, WITHOUT_ACRONYM, ACRONYM, NEAR_ACRONYM = range(5)
+WHOLE, WITHOUT_DEGREE, SPLIT, WITHOUT_ACRONYM, ACRONYM, NEAR_ACRONYM = range(6)
 
 
 class ReferenceIndex:
@@ -189,6 +188,7 @@ class ReferenceIndex:
             if g := generic(w):
                 self.generics.setdefault(g, set()).add(w)
         self.near: dict[str, list[tuple[str, int]]] = {}
+        self.near_joined: dict[str, list[tuple[str, int]]] = {}
 
     def candidates(self, word: str) -> list[tuple[str, int]]:
         """Words of the paths within the distance allowed for the word, with their distances; generic words by meaning."""
@@ -196,16 +196,24 @@ class ReferenceIndex:
             found: dict[str, int] = {}
             if g := generic(word):
                 found |= dict.fromkeys(self.generics.get(g, ()), 0)
-            for w, d in self.words.search(word, reach(word + "__") if len(word) > 3 else 0):
-                if d <= reach(w) and (w not in found or d < found[w]):
+            for w, d in self.words.search(word, reach(len(word) + 2) if len(word) > 3 else 0, reach):
+                if w not in found or d < found[w]:
                     found[w] = d
             known = self.near[word] = sorted(found.items(), key=lambda x: x[1])
             if len(self.near) > 100_000:
                 self.near.clear()
         return known
 
-    def matches(self, words: Sequence[str]) -> dict[int, int]:
-        """ref_id -> total distance of every entry with a path matching all the words."""
+    def joined(self, word: str) -> list[tuple[str, int]]:
+        """Words of the paths that two typed words, written together, can stand for."""
+        if (known := self.near_joined.get(word)) is None:
+            if len(self.near_joined) > 100_000:
+                self.near_joined.clear()
+            known = self.near_joined[word] = self.words.search(word, 1)
+        return known
+
+    def matches(self, words: Sequence[str], split: bool = False) -> dict[int, int]:
+        """ref_id -> total distance of every entry with a path matching all the words; split: a word may be typed as two."""
         found: dict[int, int] = {}
         budget = 2 + len(words)
         stack = [(self.paths, 0, 0)]
@@ -219,9 +227,9 @@ class ReferenceIndex:
             for w, d in self.candidates(words[i]):
                 if cost + d <= budget and w in node:
                     stack.append((node[w], i + 1, cost + d))
-            if i + 1 < len(words) and len(words[i]) + len(words[i + 1]) > 5:  # a blank inside a word
-                for w, d in self.candidates(words[i] + words[i + 1]):
-                    if d <= 1 and cost + d < budget and w in node:
+            if split and i + 1 < len(words) and len(words[i]) + len(words[i + 1]) > 5:
+                for w, d in self.joined(words[i] + words[i + 1]):
+                    if cost + d < budget and w in node:
                         stack.append((node[w], i + 2, cost + d + 1))
         return found
 
@@ -231,8 +239,9 @@ class ReferenceIndex:
         if not words:
             return []
         content = tuple(w for w in words if w not in DEGREES)
-        for stage, ws in ((WHOLE, words), (WITHOUT_DEGREE, content if len(content) < len(words) else ())):
-            if ws and (found := self.matches(ws)):
+        fewer = content if len(content) < len(words) else ()
+        for stage, ws, split in ((WHOLE, words, False), (WITHOUT_DEGREE, fewer, False), (SPLIT, words, True)):
+            if ws and (found := self.matches(ws, split)):
                 return sorted((stage, d, ref, "") for ref, d in found.items())
         if len(words) > 2 and (own := self.acronyms.get(words[-1])):
             if found := [(WITHOUT_ACRONYM, d, ref, "") for ref, d in self.matches(words[:-1]).items() if ref in own]:

@@ -101,6 +101,6 @@ def test_hits_equal_brute_force():
         want = {}
         for e in entries:
             for path in alias_paths(e):
-                if len(path) == 2 and path[0] == "university" and (d := distance(typed, path[1], 3)) <= reach(path[1]) and d <= reach(typed + "__"):
+                if len(path) == 2 and path[0] == "university" and (d := distance(typed, path[1], 3)) <= reach(len(path[1])) and d <= reach(len(typed) + 2):
                     want[e.ref_id] = min(d, want.get(e.ref_id, 9))
         assert index.matches(["university", typed]) == want
