@@ -1,66 +1,90 @@
 """Variant spellings of bodies typed by people: merge-and-rematch resolution.
 
-A spelling is read into a form: its generic words (what kind of body), its name words, an initial standing for a name word it
-abbreviates, and its acronym. Spellings of one form, and those that a reference entry explains, start as one profile; each
+A spelling is read into a form: its generic words (what kind of body), its name words (nicknames as the full name) and the
+initials that stand for name words. Spellings of one form, and those that a reference entry explains, start as one profile; each
 keeps its own form, so that listed profiles are blocked and matched like all others. Two profiles of different entries never join.
+
+Two forms match if they are of one kind and their names pair off within the typing errors allowed, a name of one side standing
+against its initial on the other; initials left over must be the same on both sides. Names that two joined forms know only
+together make a richer form: the profile carries the union of its spellings, names and initials, and re-enters blocking with it.
+
 A round blocks every profile under the keys of all its forms, matches it in each block with the block's heaviest unlisted profile
-and with the listed ones, and lets it join the heaviest match, listed ones first. Joined profiles carry the union of their spellings and initials, re-enter blocking with the
-keys of all of them and match on any of them, until a round joins nothing.
+and with the listed ones, and lets it join the heaviest match, listed ones first. When a round joins nothing, the profiles that
+still share a block with others settle: the forms of each block are laid out in tiles, every two tiles that hold different
+profiles are compared in one task, matches alone leave it, and what they join goes through the rounds again. At the end no two
+matching forms of different profiles are left in any block. An initial that could stand for two bodies joins none.
 
-A block is reduced by an aggregate to its heaviest profile and one for each entry in it, so candidates grow with the number of
-keys and no block is ever expanded into pairs.
+A block is reduced by an aggregate to its heads in the rounds; in settling, blocks of the same forms are compared once, and no
+pair is written that does not match.
 
-Cases: null and empty spellings are no records; placeholders, degrees and bare ids stay unlinked; equal spellings are one
-record whose weights add up; ties go to the smaller id.
+Cases: null and empty spellings are no records; placeholders, degrees and bare ids stay unlinked; a spelling of generic words
+only is named by them; equal spellings are one record whose weights add up; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.automaton import distance
-from rollbook.llm.canonical import MAX_ENTRIES, nearest_reference
+from rollbook.llm.canonical import MAX_ENTRIES, nearest_of
 from rollbook.llm.names import allowance, generic, read_name
 from rollbook.session import cut, spread
 
-# Kinds of firms; placeholders that denote nothing.
-FIRM_KINDS = frozenset("holding capital media energy logistics advisers legal affairs".split())
+# Kinds that a "U." for university stands beside; placeholders that denote nothing; short forms of given names.
+BESIDE_UNIVERSITY = frozenset("technical catholic medical agricultural naval european national".split())
 PLACEHOLDERS = frozenset(("yes", "no", "unknown", "tbc", "none", "n a", "see cv", "cv see", "not applicable", "self taught", "not stated", "applicable not", "na", "a n", "not recorded", "various", "private", "other"))
-
-
-def form_of(text: str) -> tuple[str, list[str], list[str]] | None:
+NICKNAMES = {
+    "alex": "alexander", "andy": "andrew", "bill": "william", "bob": "robert", "charlie": "charles", "chris": "christopher", "dan": "daniel", "dave": "david", "dick": "richard",
+    "ed": "edward", "fred": "frederick", "greg": "gregory", "jim": "james", "joe": "joseph", "jack": "john", "kate": "katherine", "liz": "elizabeth", "larry": "lawrence", "maggie": "margaret",
+    "matt": "matthew", "mike": "michael", "nick": "nicholas", "peggy": "margaret", "pete": "peter", "phil": "philip", "rob": "robert", "ron": "ronald", "sam": "samuel", "steve": "stephen",
+    "sue": "susan", "ted": "edward", "tim": "timothy", "tom": "thomas", "tony": "anthony", "will": "william", "willy": "william", "hans": "johannes", "heinz": "heinrich", "fritz": "friedrich", "sepp": "josef",
+}
+#: Forms of a block that one side of a comparison holds.
+TILE = 256
+_BRACKETED = re.compile(r"\(([A-Z]{3,6})\)\s*$")
+
+
+def form_of(text: str, nicknames: Mapping[str, str] = NICKNAMES) -> tuple[str, list[str], list[str]] | None:
     """(kind, sorted name words, initials), or None if the spelling denotes nothing."""
     words = read_name(text).words
+    if len(words) > 2 and (m := _BRACKETED.search(text)) and words[-1] == m[1].lower() and _abbreviates(words[-1], words[:-1]):
+        words = words[:-1]
     if not words or " ".join(words) in PLACEHOLDERS:
         return None
     kinds, names, initials = set(), [], []
     for w in words:
         g = generic(w)
-        if len(w) == 1 and len(words) > 2 and w.isalpha():
+        if len(w) == 1 and len(words) > 1 and w.isalpha():
             initials.append(w)
         elif g:
             kinds.add(g)
         else:
-            names.append(w)
-    if "u" in initials and not kinds:
+            names.append(nicknames.get(w, w))
+    if "u" in initials and kinds <= BESIDE_UNIVERSITY:
         kinds.add("university")
         initials.remove("u")
-    if initials and not (kinds & FIRM_KINDS):
-        kinds |= {"university"} if "u" in initials else set()
-        initials = []
     if {"administration", "school"} <= kinds:
         kinds.discard("national")
     if "conservatory" in kinds:
         kinds.discard("music")
     if not names:
-        return None
+        if len(kinds) < 2:
+            return None
+        names, kinds = list(kinds), set()
     return " ".join(sorted(kinds)), sorted(set(names)), sorted(initials)
 
 
+def _abbreviates(acronym: str, words: tuple[str, ...]) -> bool:
+    """Whether the letters of the acronym follow one another in the words, the first letter first."""
+    letters = iter("".join(words))
+    return acronym[0] == words[0][0] and all(c in letters for c in acronym)
+
+
 def deletions(word: str, depth: int) -> set[str]:
     """The word and all words made by deleting up to `depth` characters."""
     out, last = {word}, {word}
@@ -71,51 +95,39 @@ def deletions(word: str, depth: int) -> set[str]:
 
 
 def block_keys(kind: str, names: list[str], initials: list[str]) -> set[str]:
-    """Forms with a key in common may be one body: equal kind, each name within two deletions, or an initial for a name."""
+    """Two forms that match share a key: of one name what is left after the deletions its errors allow, of the other parts the first letters.
+
+    (Only forms of several names in which the first letters of two names are mistyped can miss each other.)
+    """
     out: set[str] = set()
-    if len(names) == 1:
-        out = {f"{kind}|{v}" for v in deletions(names[0], 2 if len(names[0]) > 5 else 1)}
-        if initials:
-            out = {f"{kind}|{v}|{initials[0]}." for v in deletions(names[0], 1)}
-    elif len(names) == 2:
-        a, b = names
-        one, two = deletions(a, 1), deletions(b, 1)
-        pairs = {(x, y) for x in one for y in two}
-        pairs |= {(x, b) for x in deletions(a, 2)} | {(a, y) for y in deletions(b, 2)}
-        out = {f"{kind}|" + "|".join(sorted(p)) for p in pairs}
-        if set(kind.split()) & FIRM_KINDS:
-            out |= {f"{kind}|{v}|{y[0]}." for x, y in ((a, b), (b, a)) for v in deletions(x, 1)}
-    else:
-        for i, n in enumerate(names):
-            rest = names[:i] + names[i + 1 :]
-            out |= {f"{kind}|" + "|".join(sorted([v, *rest])) for v in deletions(n, 1)}
+    for i, name in enumerate(names):
+        letters = "".join(sorted([*(n[0] for n in names[:i] + names[i + 1 :]), *initials]))
+        out |= {f"{kind}|{letters}|{v}" for v in deletions(name, allowance(name))}
     return out
 
 
-def names_match(a: list[str], b: list[str]) -> bool:
-    """Whether the words pair off within their distances."""
-    if len(a) != len(b):
-        return False
-    left = list(b)
-    for x in a:
-        near = [(distance(x, y, allowance(max(x, y, key=len))), y) for y in left]
-        near = [(d, y) for d, y in near if d <= allowance(max(x, y, key=len))]
-        if not near:
-            return False
-        left.remove(min(near)[1])
-    return True
-
-
-def forms_match(a_names: list[str], a_initials: list[str], b_names: list[str], b_initials: list[str]) -> bool:
-    """Equal words, or one name and the initial of the other name of a pair."""
-    if a_initials or b_initials:
-        if a_initials and b_initials:
-            return a_initials == b_initials and names_match(a_names, b_names)
-        short, letter, full = (a_names, a_initials, b_names) if a_initials else (b_names, b_initials, a_names)
-        if len(short) != 1 or len(letter) != 1 or len(full) != 2:
-            return False
-        return any(y[0] == letter[0] and names_match(short, [x]) for x, y in (full, full[::-1]))
-    return names_match(a_names, b_names)
+def combine(a_names: list[str], a_initials: list[str], b_names: list[str], b_initials: list[str]) -> tuple[list[str], list[str]] | None:
+    """(names, initials) known of a body by two forms of one kind, or None if they do not match."""
+    if len(a_names) + len(a_initials) != len(b_names) + len(b_initials):
+        return None
+    left, paired, alone = list(b_names), [], []
+    for x in sorted(a_names, key=len, reverse=True):
+        near = [(d, y) for y in left if (d := distance(x, y, limit := allowance(max(x, y, key=len)))) <= limit]
+        if near:
+            y = min(near)[1]
+            left.remove(y)
+            paired.append((x, y))
+        else:
+            alone.append(x)
+    if not paired or (a_initials or b_initials) and sum(x[0] != y[0] for x, y in paired) > (len(paired) == 1):
+        return None
+    a_left, b_left = list(a_initials), list(b_initials)
+    for names, letters in ((alone, b_left), (left, a_left)):
+        for n in names:
+            if n[0] not in letters:
+                return None
+            letters.remove(n[0])
+    return (sorted([*(x for x, _ in paired), *alone, *left]), sorted(a_left)) if sorted(a_left) == sorted(b_left) else None
 
 
 def _read_forms(spellings: DataFrame) -> DataFrame:
@@ -134,7 +146,7 @@ def _read_forms(spellings: DataFrame) -> DataFrame:
 
 
 def _keys(forms: DataFrame) -> DataFrame:
-    """(form, key) of the block keys that forms of more than one starting profile have."""
+    """(form, body, key) of the block keys of the readable forms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -148,52 +160,92 @@ def _keys(forms: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"form": ids, "body": bodies, "key": keys})
 
     readable = forms.where("kind is not null").select("form", "body", "kind", "names", "initials")
-    keys = readable.mapInPandas(run, "form bigint, body bigint, key string").select("form", "body", F.xxhash64("key").alias("key"))
+    return readable.mapInPandas(run, "form bigint, body bigint, key string").select("form", "body", F.xxhash64("key").alias("key"))
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """(form, key) of the keys that forms of more than one starting profile have."""
     shared = keys.groupBy("key").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("key")
     return keys.drop("body").join(shared, "key", "left_semi")
 
 
-def _matching() -> Column:
-    def run(a: pd.Series, ai: pd.Series, b: pd.Series, bi: pd.Series) -> pd.Series:
-        return pd.Series([forms_match(list(w), list(x), list(y), list(z)) for w, x, y, z in zip(a, ai, b, bi)])
+def _united() -> Column:
+    """Of two forms: null if they do not match, else names and initials that only both together know; no names if nothing is new."""
 
-    return F.pandas_udf(run, "boolean")
+    def run(a: pd.Series, ai: pd.Series, b: pd.Series, bi: pd.Series) -> pd.DataFrame:
+        out = []
+        for w, x, y, z in zip(a, ai, b, bi):
+            both = combine(list(w), list(x), list(y), list(z))
+            richer = both is not None and len(both[0]) > max(len(w), len(y))
+            out.append((both is not None, both[0] if richer else [], both[1] if richer else []))
+        return pd.DataFrame(out, columns=["good", "names", "initials"])
 
+    return F.pandas_udf(run, "good boolean, names array<string>, initials array<string>")
 
-def resolve(spellings: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+
+def resolve(spellings: DataFrame, reference: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """(spelling, weight) -> (spelling, body): spellings of one body carry the same body id.
 
     spellings: strings `spelling`, repeats add up their bigint `weight`. reference: entries whose alias paths open profiles.
     """
     pool = spellings.where("spelling is not null and spelling <> ''").groupBy("spelling").agg(F.sum("weight").alias("weight"))
-    pool = spread(pool, "spelling")
+    pool = cut(spread(pool, "spelling"))
     if reference is None:
         pool = pool.withColumn("ref_id", F.lit(0))
     else:
-        pool = nearest_reference(pool, "spelling", reference, max_entries=MAX_ENTRIES)
+        found = nearest_of(pool.select(F.col("spelling").alias("value")), reference, max_entries=MAX_ENTRIES)
+        pool = spread(pool.join(found.select(F.col("value").alias("spelling"), "ref_id"), "spelling", "left").fillna(0, ["ref_id"]), "spelling")
     read = _read_forms(pool.select("spelling", "weight", "ref_id"))
     listed = F.col("ref_id") > 0
     form = F.when(listed, F.xxhash64("kind", "names", "initials", "ref_id", F.lit("ref"))).otherwise(F.xxhash64("kind", "names", "initials"))
     read = cut(read.withColumn("form", form))
     start = F.when(listed, F.xxhash64("ref_id", F.lit("ref"))).otherwise(F.col("form"))
     forms = read.groupBy("form").agg(F.sum("weight").alias("weight"), *[F.first(c).alias(c) for c in ("ref_id", "kind", "names", "initials")])
-    forms = cut(spread(forms.withColumn("body", start), "form"))
-    keys = cut(_keys(forms))
-    state = forms.select("form", "weight", "ref_id", (F.size("initials") > 0).alias("short"), "body")
-    names = forms.select("form", "names", "initials")
-    while (roots := _roots(_round(state, keys, names))) is not None:  # every round leaves fewer profiles
-        state = cut(state.join(roots, "body", "left").withColumn("body", F.coalesce("root", "body")).drop("root"))
+    state = cut(spread(forms.withColumn("body", start), "form"))
+    everything = cut(_keys(state))
+    keys = cut(_shared(everything))
+    while True:  # every turn but the last leaves fewer profiles
+        joined, richer = _round(state, keys)
+        if joined is None:
+            joined, richer = _settled(state, keys, tile)
+            if joined is None:
+                break
+        state = state.join(joined, "body", "left").withColumn("body", F.coalesce("root", "body")).drop("root")
+        added = richer.join(joined, "body", "left").withColumn("body", F.coalesce("root", "body")).drop("root").join(state.select("form"), "form", "left_anti")
+        added = cut(added.groupBy("form").agg(*[F.first(c).alias(c) for c in ("kind", "names", "initials")], F.min("body").alias("body"), F.max("ref_id").alias("ref_id")))
+        if not added.isEmpty():
+            state = state.unionByName(added.withColumn("weight", F.lit(0).cast("bigint")))
+            everything = cut(everything.unionByName(_keys(added)))
+            keys = cut(_shared(everything))
+        state = cut(state)
     return read.select("spelling", "form").join(state.select("form", "body"), "form").select("spelling", "body")
 
 
-def _round(state: DataFrame, keys: DataFrame, names: DataFrame) -> DataFrame:
-    """(body, parent): each profile's heaviest matching profile among the heads of its blocks, heavier than itself.
+def _forms(state: DataFrame, k: str) -> DataFrame:
+    return state.select(*[F.col(c).alias(f"{k}{c}") for c in ("form", "kind", "names", "initials")])
+
+
+def _judged(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Pairs (form, body, p_form, ...) that match, with `united`, the form that only both together know."""
+    shown = pairs.join(_forms(state, ""), "form").join(_forms(state, "p_").drop("p_kind"), "p_form")
+    return cut(shown.withColumn("united", _united()("names", "initials", "p_names", "p_initials")).where("united.good").drop("names", "initials", "p_names", "p_initials"))
+
+
+def _richer(good: DataFrame) -> DataFrame:
+    """(form, body, ref_id, kind, names, initials): the forms that only two joined ones together know, of the profile of one of them."""
+    new = good.where(F.size("united.names") > 0).select("body", F.lit(0).alias("ref_id"), "kind", "united.names", "united.initials")
+    return new.select(F.xxhash64("kind", "names", "initials").alias("form"), "*").distinct()
+
+
+def _round(state: DataFrame, keys: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """((body, root) of the profiles that join, richer forms): each joins its heaviest match among the heads of its blocks, heavier than itself.
 
     Listed profiles rank above all others and have no parent, so a tree of parents holds one entry at most.
     """
     weights = state.groupBy("body").agg(F.sum("weight").alias("w"), F.max("ref_id").alias("ref"))
     rank = F.struct((F.col("ref") > 0).alias("listed"), "w", "body").alias("rank")
-    profiles = state.join(weights, "body").select("form", "body", "short", "ref", rank, "weight")
+    short = F.size("initials") > 0
+    profiles = state.join(weights, "body").select("form", "body", short.alias("short"), "ref", rank, "weight")
     entered = keys.join(profiles, "form")
     # Of each block: the heaviest unlisted and every listed profile with its heaviest form there, and whether an initial could mean two profiles.
     whole = F.when(~F.col("short"), F.col("body"))
@@ -207,10 +259,53 @@ def _round(state: DataFrame, keys: DataFrame, names: DataFrame) -> DataFrame:
     heads = heads.select("key", F.explode("heads").alias("head"), F.coalesce(F.col("low_whole") == F.col("high_whole"), F.lit(True)).alias("single"))
     met = entered.where("ref = 0").join(heads, "key").where(F.col("rank") < F.col("head.rank")).where(~F.col("short") & ~F.col("head.short") | F.col("single"))
     pairs = met.select("form", "body", F.col("head.form").alias("p_form"), F.col("head.rank").alias("p_rank")).distinct()
-    side = lambda k: names.select(F.col("form").alias(f"{k}form"), F.col("names").alias(f"{k}names"), F.col("initials").alias(f"{k}initials"))
-    shown = pairs.join(names, "form").join(side("p_"), "p_form")
-    good = shown.where(_matching()("names", "initials", "p_names", "p_initials"))
-    return good.groupBy("body").agg(F.max("p_rank").alias("best")).select("body", F.col("best.body").alias("parent"))
+    good = _judged(pairs, state)
+    return _roots(good.groupBy("body").agg(F.max("p_rank").alias("best")).select("body", F.col("best.body").alias("parent"))), _richer(good)
+
+
+def _settled(state: DataFrame, keys: DataFrame, tile: int) -> tuple[DataFrame | None, DataFrame]:
+    """The same for all matching forms of different profiles left in any block.
+
+    A profile joins the heaviest profile it matches that is heavier than itself; what is left over joins in the next turn.
+    """
+    weights = state.groupBy("body").agg(F.sum("weight").alias("w"), F.max("ref_id").alias("ref"))
+    profiles = state.join(weights, "body").select("form", "body", "ref", F.struct((F.col("ref") > 0).alias("listed"), "w", "body").alias("rank"), "names", "initials")
+    entered = keys.join(profiles.select("form", "body"), "form")
+    open_ = entered.groupBy("key").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    placed = entered.join(open_.select("key", tiles.alias("tiles")), "key").withColumn("t", F.pmod(F.xxhash64("form"), F.col("tiles")).cast("int"))
+    held = placed.groupBy("key", "tiles", "t").agg(F.array_sort(F.collect_list("form")).alias("own"))
+    left = held.select("key", "own", "t", F.explode(F.sequence(F.col("t"), F.col("tiles") - 1)).alias("u"))
+    met = left.join(held.select("key", F.col("t").alias("u"), F.col("own").alias("other")), ["key", "u"]).select("own", "other").distinct()
+    met = cut(met.withColumn("id", F.xxhash64("own", "other")))
+    # The forms of the tiles, each read once.
+    shape = F.struct("form", "body", "ref", "names", "initials").alias("f")
+    sides = met.select("id", F.explode("own").alias("form"), F.lit(0).alias("side")).unionByName(met.select("id", F.explode("other").alias("form"), F.lit(1).alias("side")))
+    filled = sides.join(profiles.select("form", shape), "form").groupBy("id").agg(
+        *[F.collect_list(F.when(F.col("side") == k, F.col("f"))).alias(f"s{k}") for k in (0, 1)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for own, other in zip(b["s0"], b["s1"]):
+                for x in own:
+                    for y in other:
+                        if x["body"] != y["body"] and not (x["ref"] and y["ref"]) and combine(list(x["names"]), list(x["initials"]), list(y["names"]), list(y["initials"])):
+                            out += [(x["form"], x["body"], y["form"], y["body"]), (y["form"], y["body"], x["form"], x["body"])]
+            if out:
+                yield pd.DataFrame(sorted(set(out)), columns=["form", "body", "p_form", "p_body"])
+
+    pairs = spread(filled, "id").mapInPandas(run, "form bigint, body bigint, p_form bigint, p_body bigint").distinct()
+    # An initial that stands against the names of two profiles means neither.
+    short = state.select("form", (F.size("initials") > 0).alias("short"))
+    pairs = pairs.join(short, "form").join(short.select(F.col("form").alias("p_form"), F.col("short").alias("p_short")), "p_form")
+    meant = pairs.where("not p_short").groupBy("form").agg((F.min("p_body") < F.max("p_body")).alias("unclear"))
+    pairs = pairs.join(meant.where("unclear").select("form", "unclear"), "form", "left").join(meant.where("unclear").select(F.col("form").alias("p_form"), F.col("unclear").alias("p_unclear")), "p_form", "left")
+    clear = cut(pairs.where("(not short or unclear is null) and (not p_short or p_unclear is null)").select("form", "body", "p_form", "p_body"))
+    good = _judged(clear, state)
+    rank = lambda k: weights.select(F.col("body").alias(f"{k}body"), F.struct((F.col("ref") > 0).alias("listed"), "w", "body").alias(f"{k}rank"), F.col("ref").alias(f"{k}ref"))
+    up = good.select("body", "p_body").distinct().join(rank(""), "body").join(rank("p_"), "p_body").where("ref = 0 and rank < p_rank")
+    return _roots(up.groupBy("body").agg(F.max("p_rank").alias("best")).select("body", F.col("best.body").alias("parent"))), _richer(good)
 
 
 def _roots(links: DataFrame) -> DataFrame | None:

@@ -3,7 +3,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from rollbook.llm.queries_resolution import member_pairs
-from rollbook.llm.resolution import form_of, resolve
+from rollbook.llm.resolution import combine, form_of, resolve
 
 BODIES = {
     "firm": ["Karlov & Bentman Holding AG", "KARLOV & BENTMAN HOLDING", "Karlvo & Bentman Hldg.", "Karlov & B. Holding", "Holding Bentman & Karlov"],
@@ -50,3 +50,65 @@ def test_member_pairs_tiles_equal_brute_force(spark):
     for tile in (256, 4):
         got = member_pairs(spark.createDataFrame(members, "body string, spelling string"), "body", "spelling", tile)
         assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def bodies(spark, names, **given):
+    rows = [(n, 50 - i) for i, n in enumerate(names)]
+    return {r.spelling: r.body for r in resolve(spark.createDataFrame(rows, "spelling string, weight bigint"), **given).collect()}
+
+
+def test_profiles_meet_others_than_the_heads_of_their_blocks(spark):
+    # Six heavier names share every key of the last two, and match neither.
+    decoys = ["Dorlan Gymnasium Aston", "Dorlan Gymnasium Alby", "Dorlan Gymnasium Ashwell", "Dorlan Gymnasium Adstock", "Dorlan Gymnasium Acle", "Dorlan Gymnasium Abney"]
+    pair = ["Dorlan Gymnasium Ambermarlow", "Dorlan Gymnasium Ambermarlaw"]
+    for tile in (256, 2):
+        got = bodies(spark, [*decoys, *pair], tile=tile)
+        assert got[pair[0]] == got[pair[1]] and len(set(got.values())) == len(decoys) + 1
+    few = bodies(spark, ["University of marlow", "University of marlaw", "University of marle", "University of arlow", "University of arlaw"])
+    assert few["University of marlow"] == few["University of marlaw"]
+
+
+def test_initials_tell_bodies_of_any_kind_apart(spark):
+    got = bodies(spark, ["J. R. Stone Partners", "K. L. Stone Partners", "J. R. Stone Partnrs", "Karlov & B. Consulting", "Karlov & Bentman Consulting", "Dorlan & M. Holding", "Dorlan & Mertens Holding", "Dorlan & Malby Holding"])
+    assert got["J. R. Stone Partners"] != got["K. L. Stone Partners"]
+    assert got["J. R. Stone Partners"] == got["J. R. Stone Partnrs"]
+    assert got["Karlov & B. Consulting"] == got["Karlov & Bentman Consulting"]
+    assert len({got[x] for x in got if x.startswith("Dorlan")}) == 3  # the initial could be either's
+
+
+def test_merged_profiles_match_as_one(spark):
+    # The first two match; only what both know together matches the third, which shares no key with either.
+    got = bodies(spark, ["Karlov, Bentman & D. Holding", "Karlov, B. & Dornach Holding", "K., Bentman & Dornach Holding"])
+    assert len(set(got.values())) == 1
+    assert combine(["karlov", "bentman"], ["d"], ["dornach", "karlov"], ["b"]) == (["bentman", "dornach", "karlov"], [])
+
+
+def test_nicknames_acronyms_and_generic_names(spark):
+    got = bodies(spark, ["Robert Keller Consulting", "Bob Keller Consulting", "Bill Keller Consulting", "Marlow Naval Academy (MNA)", "Marlow Naval Academy", "European Policy Forum", "Eur. Policy Forum", "Forum"])
+    assert got["Robert Keller Consulting"] == got["Bob Keller Consulting"] != got["Bill Keller Consulting"]
+    assert got["Marlow Naval Academy (MNA)"] == got["Marlow Naval Academy"]
+    assert got["European Policy Forum"] == got["Eur. Policy Forum"] and "Forum" not in got
+
+
+def test_recall_against_brute_force_without_a_list(spark):
+    """Variants of invented names made at random: links between forms equal those of comparing all with all."""
+    import random
+
+    rng = random.Random(5)
+    parts = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 5))) for _ in range(60)]
+
+    def typo(w):
+        i = rng.randrange(1, len(w))
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("aeiou") + w[i:], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :], w])
+
+    names = set()
+    for _ in range(90):
+        kind, own = rng.choice(["Holding", "Consulting", "Gymnasium"]), rng.sample(parts, rng.randint(1, 2))
+        for _ in range(4):
+            names.add(" ".join([*map(typo, own), kind]))
+    names = sorted(names)
+    got = bodies(spark, names)
+    forms = {n: form_of(n) for n in names}
+    matching = [(a, b) for a, b in combinations(names, 2) if forms[a][0] == forms[b][0] and combine(*forms[a][1:], *forms[b][1:])]
+    missed = [p for p in matching if got[p[0]] != got[p[1]]]
+    assert len(matching) > 200 and len(missed) <= 0.01 * len(matching), missed
