@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.cooccurrence import cooccurrence
+from rollbook.llm.cooccurrence import cooccurrence, more_than_chance
 from rollbook.llm.queries import REG
 from rollbook.plans.registry import Tables
 
@@ -31,7 +31,7 @@ def _cells(t: Tables) -> DataFrame:
 @REG.query("p5_found", _SCORED + "select src_field, item_a, item_b from scored where n_ab >= 5 and n_ab * n >= 4 * n_a * n_b")
 def p5_found(t: Tables) -> DataFrame:
     pairs = cooccurrence(_cells(t), ["src_field"], "items", min_joint=5)
-    return pairs.where(F.col("n_ab") * F.col("n") >= 4 * F.col("n_a") * F.col("n_b")).select("src_field", "item_a", "item_b")
+    return pairs.where(more_than_chance(4)).select("src_field", "item_a", "item_b")
 
 
 @REG.query("p5_scores", _SCORED + """select src_field, item_a, item_b, cast(n_ab as bigint) as n_ab, cast(n_a as bigint) as n_a, cast(n_b as bigint) as n_b, cast(n as bigint) as n,
