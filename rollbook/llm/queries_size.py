@@ -9,6 +9,7 @@ from rollbook.llm.packing import fill_report, pack
 from rollbook.llm.queries import REG
 from rollbook.llm.tokens import with_tokens
 from rollbook.plans.registry import Tables
+from rollbook.session import cut
 
 
 @REG.query("p6_packing")
@@ -23,17 +24,17 @@ def p6_fill(t: Tables) -> DataFrame:
     return fill_report(p6_packing(t), t.pack_specs, "n_tokens")
 
 
-def _mixed(t: Tables) -> DataFrame:
-    sized = with_tokens(t.documents.select("doc_id", "source", "text"), "text").select("doc_id", "source", "n_tokens")
-    return mix(sized, "doc_id", "source", "n_tokens", t.mix_targets)
+def _sized(t: Tables) -> DataFrame:
+    return with_tokens(t.documents.select("doc_id", "source", "text"), "text").select("doc_id", "source", "n_tokens")
 
 
 @REG.query("p7_mix")
 def p7_mix(t: Tables) -> DataFrame:
     """Documents used and how often."""
-    return _mixed(t)
+    return mix(_sized(t), "doc_id", "source", "n_tokens", t.mix_targets)
 
 
 @REG.query("p7_shares")
 def p7_shares(t: Tables) -> DataFrame:
-    return share_report(_mixed(t), t.mix_targets, "n_tokens")
+    sized = cut(_sized(t))
+    return share_report(mix(sized, "doc_id", "source", "n_tokens", t.mix_targets), t.mix_targets, "n_tokens", sized)

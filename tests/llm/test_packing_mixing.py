@@ -120,3 +120,25 @@ def test_tokens(spark):
     df = spark.createDataFrame([("a b",), (None,), ("",), ("<|endoftext|>",), ("x y " * 50_000,)], "t string")
     got = [r.n_tokens for r in with_tokens(df, "t").collect()]
     assert got[0] == 2 and got[1] == got[2] == 0 and got[3] > 1 and got[4] >= 100_000
+
+
+def test_flight_keeps_both_totals_with_giants():
+    import numpy as np
+
+    from rollbook.llm.mixing import counter_rate, flight
+
+    rng = np.random.default_rng(4)
+    for giants in (0, 3, 40, 90):
+        t = np.concatenate([rng.integers(20_000, 60_000, giants), rng.integers(20, 300, 400)]).astype(float)
+        p = np.full(len(t), 0.3)
+        out = flight(p, t, 11)
+        assert abs(out.sum() - p.sum()) < 1e-6 and abs((out * t).sum() - (p * t).sum()) < 1e-3
+        left = np.flatnonzero((out > 1e-9) & (out < 1 - 1e-9))
+        assert len(left) <= 2
+        if giants == 3:
+            assert all(t[i] < 1000 for i in left)
+    sizes = np.array([1.0, 2, 3, 10])
+    a, b = counter_rate(4, sizes.sum(), (sizes**2).sum(), 2.2, 9.0, 1, 10, 1.0)
+    assert abs((a + b * sizes).sum() - 2.2) < 1e-9 and abs(((a + b * sizes) * sizes).sum() - 9.0) < 1e-9
+    assert counter_rate(4, sizes.sum(), (sizes**2).sum(), 2.2, 99.0, 1, 10, 1.0) == (1.0, 0.0)
+    assert counter_rate(0, 0, 0, 1, 1, 0, 0, 1.0) == (0.0, 0.0)
