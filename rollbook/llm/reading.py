@@ -2,12 +2,14 @@
 
 Features of a whole text, in three groups: the document (lexical diversity, length), its words (rarity against the corpus,
 length, connectives) and its sentences (length, commas and subordinating words as a proxy of clause depth), the latter as medians
-and quartiles over sentences too, so that a few quoted or list sentences do not set the level. Rarity comes from word counts of
-all documents, held in a hashed table of a fixed number of buckets. A cumulative logit with ridge penalty, common weights and
-language deviations is fitted to the graded documents.
+and quartiles over sentences too, so that a few quoted or list sentences do not set the level. Rarity comes from the counts of all
+words of all documents. The frequent words are held by every task, as many as `max_words` allows: those from a count on that is
+told from the numbers of words of each count. All rarer words share the rarity of their mean count. A cumulative logit with ridge
+penalty, common weights and language deviations is fitted to the graded documents until its loss settles; its cuts and the
+steepness of its scores are then calibrated on graded documents that the fit they are scored by has not seen.
 
 Cases: null, blank and wordless texts have zero features and get the level of their features like any other; the language is
-judged by function words, not by the `lang` column; labels outside 1..levels or without text are left out of the fit; with no
+judged by function words, not by the `lang` column, and texts with hardly any of them get no deviation; labels outside 1..levels or without text are left out of the fit; with no
 labels at all the middle level is given.
 """
 
@@ -15,19 +17,23 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 20
+from rollbook.session import cut
+
+#: Words whose own rarity is held by each task (about 30 bytes each); all rarer ones share one.
+MAX_WORDS_HELD = 200_000
 MAX_LABELS = 30_000
 LEVELS = 5
 LANGS = ("en", "de", "fr")
+#: Share of function words of a language below which a text is in none of them.
+LEAST_FUNCTION_WORDS = 0.05
 
 # Function words that tell the languages apart, connectives, subordinating words.
 FUNCTION_WORDS = {
@@ -58,12 +64,8 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def bucket(word: str, buckets: int = BUCKETS) -> int:
-    return zlib.crc32(word.encode()) % buckets
-
-
-def word_counts(df: DataFrame, text: str, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, n): occurrences of lower-cased words over all texts, by hash bucket. Counted per batch before the shuffle."""
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, n): occurrences of lower-cased words over all texts. Counted per task before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter[str] = Counter()
@@ -71,22 +73,56 @@ def word_counts(df: DataFrame, text: str, buckets: int = BUCKETS) -> DataFrame:
             for t in batch[text]:
                 total.update(tokens(t))
             if len(total) > 500_000:
-                yield _bucketed(total, buckets)
+                yield _lowered(total)
                 total.clear()
-        yield _bucketed(total, buckets)
+        if total:  # an empty string column has no Arrow array
+            yield _lowered(total)
+
+    return df.select(text).mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _lowered(total: Counter[str]) -> pd.DataFrame:
+    low: Counter[str] = Counter()
+    for w, n in total.items():
+        if w[0].isalpha():
+            low[w.lower()] += n
+    return pd.DataFrame({"word": pd.Series(list(low), dtype="str"), "n": pd.Series(list(low.values()), dtype="int64")})
+
+
+class Rarity:
+    """Negative log frequency of words: their own where they are held, one shared by all others."""
 
-    return df.select(text).mapInPandas(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    def __init__(self, counts: dict[str, int], total: float, rest: float) -> None:
+        self.total, self.rest = max(total, 1.0), float(np.log(max(total, 1.0) / max(rest, 1.0)))
+        self.own = {w: float(np.log(self.total / n)) for w, n in counts.items()}
 
+    def of(self, word: str) -> float:
+        return self.own.get(word, self.rest)
 
-def _bucketed(total: Counter[str], buckets: int) -> pd.DataFrame:
-    kept = [(bucket(w.lower(), buckets), n) for w, n in total.items() if w[0].isalpha()]
-    return pd.DataFrame(kept, columns=["bucket", "n"]).groupby("bucket", as_index=False).sum().astype({"bucket": "int32", "n": "int64"})
+
+def rarity_table(counts: DataFrame, max_words: int = MAX_WORDS_HELD) -> Rarity:
+    """The rarity of words from (word, n); at most max_words of them come to the driver.
+
+    The least count held is told from the number of words of each count, of which there are few: the words of a corpus of N tokens
+    have less than sqrt(2 N) different counts.
+    """
+    counts = cut(counts)
+    of_count = sorted(((r[0], r[1]) for r in counts.groupBy("n").count().collect()), reverse=True)
+    held, least = 0, 0
+    for n, words in of_count:
+        if held + words > max_words:
+            break
+        held, least = held + words, n
+    rest = [(n, words) for n, words in of_count if held == 0 or n < least]
+    rows = counts.where(F.col("n") >= least).toPandas() if held else pd.DataFrame({"word": [], "n": []})
+    mean = sum(n * k for n, k in rest) / max(1, sum(k for _, k in rest))
+    return Rarity(dict(zip(rows["word"], rows["n"].astype(float))), float(sum(n * k for n, k in of_count)), mean)
 
 
 class Lexicon:
     """Numeric attributes of words, computed once per word and worker."""
 
-    def __init__(self, rarity: np.ndarray) -> None:
+    def __init__(self, rarity: Rarity) -> None:
         self.rarity = rarity
         self.ids: dict[str, int] = {}
         # Columns: kind (0 end, 1 break, 2 comma, 3 number, 4 word), length, rarity, connective, subordinator, en, de, fr, capital.
@@ -107,7 +143,7 @@ class Lexicon:
             row = (_COMMA, 0, 0, 0, 0, 0, 0, 0, 0)
         else:
             w = token.lower()
-            row = (4, len(w), float(self.rarity[bucket(w, len(self.rarity))]), w in _CONN, w in _SUB, w in _SETS["en"], w in _SETS["de"], w in _SETS["fr"], c.isupper())
+            row = (4, len(w), self.rarity.of(w), w in _CONN, w in _SUB, w in _SETS["en"], w in _SETS["de"], w in _SETS["fr"], c.isupper())
         k = len(self.ids)
         if k == len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
@@ -157,7 +193,7 @@ def features(docs: list[list[str]], lexicon: Lexicon) -> tuple[np.ndarray, np.nd
     """Feature matrix and language of a batch of token lists."""
     n_docs = len(docs)
     out = np.zeros((n_docs, N_FEATURES))
-    lang = np.zeros(n_docs, dtype=np.int64)
+    lang = np.full(n_docs, len(LANGS), dtype=np.int64)
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     if not sizes.sum():
         return out, lang
@@ -175,7 +211,8 @@ def features(docs: list[list[str]], lexicon: Lexicon) -> tuple[np.ndarray, np.nd
     per = lambda x, at=wd: np.bincount(at, weights=x, minlength=n_docs)
     n = np.bincount(wd, minlength=n_docs)
     some = np.maximum(n, 1)
-    lang = np.stack([per(w[:, k]) for k in (5, 6, 7)], axis=1).argmax(axis=1)
+    known = np.stack([per(w[:, k]) for k in (5, 6, 7)], axis=1)
+    lang = np.where(known.max(axis=1) >= LEAST_FUNCTION_WORDS * some, known.argmax(axis=1), len(LANGS))
     length, rar = w[:, 1], w[:, 2]
     own = w[:, 8] == 0  # names are no measure of difficulty
     own_per = per(own)
@@ -216,56 +253,91 @@ def features(docs: list[list[str]], lexicon: Lexicon) -> tuple[np.ndarray, np.nd
     return out, lang
 
 
+def _logistic(v: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+
+
+def _descend(params: list[np.ndarray], loss_and_gradients: Callable[[], tuple[float, list[np.ndarray]]], tolerance: float = 1e-5) -> None:
+    """Adam in stretches of 50 steps; a stretch that gains too little divides the rate by 3, and the third such one ends it."""
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    rate, step, before = 0.1, 0, np.inf
+    while rate > 0.1 / 27:
+        for _ in range(50):
+            step += 1
+            loss, gradients = loss_and_gradients()
+            for value, grad, m1, m2 in zip(params, gradients, first, second):
+                m1 += 0.1 * (grad - m1)
+                m2 += 0.01 * (grad * grad - m2)
+                value -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+        if before - loss < tolerance * max(1.0, abs(loss)):
+            rate /= 3
+        before = min(before, loss)
+
+
+def _slopes(score: np.ndarray, y: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of a cumulative logit: negative log likelihood, its slope by score, its slope by cut."""
+    bounds = np.concatenate([[-np.inf], np.sort(cuts), [np.inf]])
+    up, low = _logistic(bounds[y] - score), _logistic(bounds[y - 1] - score)
+    p = np.maximum(up - low, 1e-9)
+    d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
+    return float(-np.log(p).sum()), d_up - d_low, np.array([d_low[y == k + 1].sum() - d_up[y == k].sum() for k in range(1, len(cuts) + 1)])
+
+
 class OrdinalModel:
-    """Cumulative logit: common weights, language deviations and offsets, ridge penalties; fitted by Adam on all rows at once."""
+    """Cumulative logit: common weights, language deviations and offsets, ridge penalties; fitted on all rows at once."""
 
-    def __init__(self, ridge: float = 2.0, ridge_lang: float = 8.0, steps: int = 400, levels: int = LEVELS) -> None:
-        self.ridge, self.ridge_lang, self.steps, self.levels = ridge, ridge_lang, steps, levels
+    def __init__(self, ridge: float = 2.0, ridge_lang: float = 8.0, levels: int = LEVELS, folds: int = 3) -> None:
+        self.ridge, self.ridge_lang, self.levels, self.folds = ridge, ridge_lang, levels, folds
 
     def fit(self, x: np.ndarray, lang: np.ndarray, y: np.ndarray) -> OrdinalModel:
+        """Fit, then calibrate on the rows scored by fits of the other folds."""
+        unseen = np.zeros(len(y))
+        folds = np.arange(len(y)) % self.folds
+        calibrated = len(y) >= 20 * self.levels
+        for k in range(self.folds if calibrated else 0):
+            unseen[folds == k] = OrdinalModel(self.ridge, self.ridge_lang, self.levels)._fitted(x[folds != k], lang[folds != k], y[folds != k]).score(x[folds == k], lang[folds == k])
+        self._fitted(x, lang, y)
+        if calibrated:
+            slope, cuts = np.ones(1), self.cuts.copy()
+
+            def gradients() -> tuple[float, list[np.ndarray]]:
+                loss, by_score, by_cut = _slopes(slope[0] * unseen, y, cuts)
+                return loss / len(y), [np.array([(by_score * unseen).sum() / len(y)]), by_cut / len(y)]
+
+            _descend([slope, cuts], gradients)
+            if slope[0] > 0:
+                self.cuts = np.sort(cuts) / slope[0]
+        return self
+
+    def _fitted(self, x: np.ndarray, lang: np.ndarray, y: np.ndarray) -> OrdinalModel:
         self.mean, self.sd = x.mean(axis=0), x.std(axis=0) + 1e-9
         z, n, n_lang = self._expanded(x), len(y), len(LANGS)
-        weights, cuts, offset = np.zeros((1 + n_lang, z.shape[1])), np.linspace(-2, 2, self.levels - 1), np.zeros(n_lang)
-        params = [weights, cuts, offset]
-        first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        logistic = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+        # The last row of weights and offset, of no language, stays zero.
+        weights, cuts, offset = np.zeros((2 + n_lang, z.shape[1])), np.linspace(-2, 2, self.levels - 1), np.zeros(1 + n_lang)
         groups = [np.flatnonzero(lang == k) for k in range(n_lang)]
-        for step in range(1, self.steps + 1):
+
+        def gradients() -> tuple[float, list[np.ndarray]]:
             score = (z * (weights[0] + weights[1:][lang])).sum(axis=1) + offset[lang]
-            bounds = np.concatenate([[-np.inf], np.sort(cuts), [np.inf]])
-            up, low = logistic(bounds[y] - score), logistic(bounds[y - 1] - score)
-            p = np.maximum(up - low, 1e-9)
-            d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
-            g = d_up - d_low
-            g_cuts = np.array([d_low[y == k + 1].sum() - d_up[y == k].sum() for k in range(1, self.levels)])
-            g_w = np.vstack([z.T @ g + self.ridge * weights[0], *[z[at].T @ g[at] + self.ridge_lang * weights[1 + k] for k, at in enumerate(groups)]])
-            g_off = np.array([g[at].sum() for at in groups]) + self.ridge * offset
-            rate = 0.1 if step < self.steps * 0.6 else 0.03
-            for value, grad, m1, m2 in zip(params, (g_w, g_cuts, g_off), first, second):
-                grad = grad / n
-                m1 += 0.1 * (grad - m1)
-                m2 += 0.01 * (grad * grad - m2)
-                value -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+            loss, g, g_cuts = _slopes(score, y, cuts)
+            loss += 0.5 * (self.ridge * ((weights[0] ** 2).sum() + (offset**2).sum()) + self.ridge_lang * (weights[1:] ** 2).sum())
+            g_w = np.vstack([z.T @ g + self.ridge * weights[0], *[z[at].T @ g[at] + self.ridge_lang * weights[1 + k] for k, at in enumerate(groups)], np.zeros(z.shape[1])])
+            g_off = np.array([*(g[at].sum() for at in groups), 0.0]) + self.ridge * offset
+            return loss / n, [g_w / n, g_cuts / n, g_off / n]
+
+        _descend([weights, cuts, offset], gradients)
         self.weights, self.cuts, self.offset = weights, np.sort(cuts), offset
         return self
 
+    def score(self, x: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        return (self._expanded(x) * (self.weights[0] + self.weights[1:][lang])).sum(axis=1) + self.offset[lang]
+
     def _expanded(self, x: np.ndarray) -> np.ndarray:
         """Standardised features, clipped at four deviations, and their squares."""
         z = np.clip((x - self.mean) / self.sd, -4, 4)
         return np.hstack([z, z * z - 1])
 
     def predict(self, x: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        z = self._expanded(x)
-        score = (z * (self.weights[0] + self.weights[1:][lang])).sum(axis=1) + self.offset[lang]
-        return 1 + (score[:, None] > self.cuts[None]).sum(axis=1)
-
-
-def rarity_table(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Negative log frequency of each bucket; at most `buckets` rows come to the driver."""
-    table = np.zeros(buckets)
-    rows = counts.toPandas()
-    table[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
-    return np.log(max(table.sum(), 1.0) / np.maximum(table, 1.0)).astype(np.float32)
+        return 1 + (self.score(x, lang)[:, None] > self.cuts[None]).sum(axis=1)
 
 
 #: Words a worker remembers; its lexicon then starts anew.
@@ -273,7 +345,7 @@ MAX_WORDS = 300_000
 _LEXICON: list[tuple] = []
 
 
-def _lexicon(rarity: np.ndarray) -> Lexicon:
+def _lexicon(rarity: Rarity) -> Lexicon:
     if not _LEXICON or _LEXICON[0][0] is not rarity or len(_LEXICON[0][1]) > MAX_WORDS:
         _LEXICON[:] = [(rarity, Lexicon(rarity))]
     return _LEXICON[0][1]
@@ -283,20 +355,20 @@ def _lexicon(rarity: np.ndarray) -> Lexicon:
 BATCH_DOCS = 1_000
 
 
-def _in_batches(texts: pd.Series, rarity: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _in_batches(texts: pd.Series, rarity: Rarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for at in range(0, len(texts), BATCH_DOCS):
         docs = [tokens(t) for t in texts.iloc[at : at + BATCH_DOCS]]
         x, lang = features(docs, _lexicon(rarity))
         yield x, lang
 
 
-def reading_level(df: DataFrame, text: str, doc_id: str, labels: DataFrame, out: str = "reading_level", max_labels: int = MAX_LABELS, buckets: int = BUCKETS) -> DataFrame:
+def reading_level(df: DataFrame, text: str, doc_id: str, labels: DataFrame, out: str = "reading_level", max_labels: int = MAX_LABELS, max_words: int = MAX_WORDS_HELD) -> DataFrame:
     """df with the reading level of each text, judged by a model fitted to labels (doc_id, reading_level).
 
     max_labels: of more labelled documents than this, those with the smallest hashed ids are used for the fit; nothing else is bounded.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(rarity_table(word_counts(df, text, buckets), buckets))
+    shared = spark.sparkContext.broadcast(rarity_table(word_counts(df, text), max_words))
 
     def measured(texts: pd.Series) -> pd.DataFrame:
         parts = list(_in_batches(texts, shared.value))

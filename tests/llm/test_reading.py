@@ -26,16 +26,16 @@ def test_tokens():
 
 
 def test_features_do_not_depend_on_the_batch():
-    lex = rd.Lexicon(np.ones(64, dtype=np.float32))
+    lex = rd.Lexicon(rd.Rarity({}, np.e, 1))
     docs = [rd.tokens(t) for t in (EASY, "", HARD, "word", "1 2 .", EASY + "\n- " + HARD)]
     together, langs = rd.features(docs, lex)
     for k, d in enumerate(docs):
-        alone, lang = rd.features([d], rd.Lexicon(np.ones(64, dtype=np.float32)))
+        alone, lang = rd.features([d], rd.Lexicon(rd.Rarity({}, np.e, 1)))
         assert np.allclose(alone[0], together[k]) and lang[0] == langs[k]
 
 
 def test_features_by_hand():
-    x, _ = rd.features([rd.tokens("the big dog ran. it sat, down.")], rd.Lexicon(np.ones(64, dtype=np.float32)))
+    x, _ = rd.features([rd.tokens("the big dog ran. it sat, down.")], rd.Lexicon(rd.Rarity({}, np.e, 1)))
     f = dict(zip(rd.FEATURES, x[0]))
     assert np.isclose(f["bias_len"], np.log(7)) and np.isclose(f["root_ttr"], 7 / np.sqrt(7)) and np.isclose(f["sent_mean"], 3.5)
     assert np.isclose(f["commas"], 0.5) and np.isclose(f["mean_len"], (3 + 3 + 3 + 3 + 2 + 3 + 4) / 7)
@@ -66,3 +66,31 @@ def test_operator(spark):
     none = rd.reading_level(df, "text", "doc_id", labels.limit(0))
     assert {r.reading_level for r in none.collect()} == {3}
     assert rd.reading_level(df.limit(0), "text", "doc_id", labels).collect() == []
+
+
+def test_rarity_is_exact_for_held_words_and_shared_by_the_rest(spark):
+    texts = ["the the the the dog dog ran", "The dog sat. <b>", None, ""]
+    counts = rd.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    assert {r.word: r.n for r in counts.collect()} == {"the": 5, "dog": 3, "ran": 1, "sat": 1, "b": 1}
+    every = rd.rarity_table(counts)
+    assert np.isclose(every.of("dog"), np.log(11 / 3)) and np.isclose(every.of("sat"), np.log(11)) and np.isclose(every.of("unseen"), np.log(11))
+    few = rd.rarity_table(counts, max_words=4)  # three words of count 1 do not fit beside the other two
+    assert set(few.own) == {"the", "dog"} and np.isclose(few.of("sat"), np.log(11)) and np.isclose(few.of("the"), np.log(11 / 5))
+    none = rd.rarity_table(counts.limit(0))
+    assert none.of("x") == 0.0
+
+
+def test_cuts_are_calibrated_on_unseen_rows():
+    rng = np.random.default_rng(2)
+    y = rng.integers(1, 6, 400)
+    x = np.c_[y + rng.normal(0, 0.8, 400), rng.normal(size=(400, 60))]  # many useless features: the plain fit is too sure
+    model = rd.OrdinalModel(ridge=0.01).fit(x[:200], np.zeros(200, dtype=int), y[:200])
+    plain = rd.OrdinalModel(ridge=0.01)._fitted(x[:200], np.zeros(200, dtype=int), y[:200])
+    score = lambda m: (m.predict(x[200:], np.zeros(200, dtype=int)) == y[200:]).mean()
+    assert np.all(np.diff(model.cuts) > 0) and score(model) >= score(plain) - 0.03
+
+
+def test_texts_of_no_known_language_get_no_deviation():
+    lexicon = rd.Lexicon(rd.Rarity({}, np.e, 1))
+    _, lang = rd.features([rd.tokens("talo on suuri ja vanha"), rd.tokens("the dog of the house"), rd.tokens("")], lexicon)
+    assert list(lang) == [3, 0, 3]
