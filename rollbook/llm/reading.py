@@ -298,15 +298,18 @@ class OrdinalModel:
             unseen[folds == k] = OrdinalModel(self.ridge, self.ridge_lang, self.levels)._fitted(x[folds != k], lang[folds != k], y[folds != k]).score(x[folds == k], lang[folds == k])
         self._fitted(x, lang, y)
         if calibrated:
-            slope, cuts = np.ones(1), self.cuts.copy()
+            # In units of the unseen scores' spread, starting where the shares of the levels put the cuts.
+            spread = unseen.std() + 1e-9
+            unit, slope = unseen / spread, np.ones(1)
+            cuts = np.quantile(unit, [np.mean(y <= k) for k in range(1, self.levels)])
 
             def gradients() -> tuple[float, list[np.ndarray]]:
-                loss, by_score, by_cut = _slopes(slope[0] * unseen, y, cuts)
-                return loss / len(y), [np.array([(by_score * unseen).sum() / len(y)]), by_cut / len(y)]
+                loss, by_score, by_cut = _slopes(slope[0] * unit, y, cuts)
+                return loss / len(y), [np.array([(by_score * unit).sum() / len(y)]), by_cut / len(y)]
 
             _descend([slope, cuts], gradients)
             if slope[0] > 0:
-                self.cuts = np.sort(cuts) / slope[0]
+                self.cuts = np.sort(cuts) / slope[0] * spread
         return self
 
     def _fitted(self, x: np.ndarray, lang: np.ndarray, y: np.ndarray) -> OrdinalModel:
