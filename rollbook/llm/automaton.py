@@ -11,7 +11,10 @@ from collections.abc import Callable, Iterable
 
 State = tuple[tuple[int, int, int], ...]
 
-_STEPS: dict[tuple[int, State, int, int], tuple[int, State]] = {}
+# States by number, and the steps of each limit by (state, hits, left) in one number; shared by all queries.
+_STATES: list[State] = [((0, 0, 0),)]
+_NUMBERS: dict[State, int] = {_STATES[0]: 0}
+_STEPS: dict[int, dict[int, tuple[int, int]]] = {}
 
 
 def _reduce(states: set[tuple[int, int, int]]) -> tuple[int, State]:
@@ -26,11 +29,9 @@ def _reduce(states: set[tuple[int, int, int]]) -> tuple[int, State]:
     return base, tuple(sorted((i - base, e, t) for i, e, t in kept))
 
 
-def _step(limit: int, state: State, hits: int, left: int) -> tuple[int, State]:
-    """Base shift and next state; bit k of hits: query[base+k] equals the character; left: query characters from base on."""
-    key = (limit, state, hits, left)
-    if (known := _STEPS.get(key)) is not None:
-        return known
+def _step(limit: int, number: int, hits: int, left: int) -> tuple[int, int]:
+    """Base shift and number of the next state, -1 if it is empty; bit k of hits: query[base+k] equals the character; left: query characters from base on."""
+    state = _STATES[number]
     out: set[tuple[int, int, int]] = set()
     for i, e, t in state:
         if t:
@@ -49,23 +50,41 @@ def _step(limit: int, state: State, hits: int, left: int) -> tuple[int, State]:
                     out.add((i + j + 1, e + j, 0))
             if i + 1 < left and hits >> (i + 1) & 1:
                 out.add((i, e + 1, 1))
-    _STEPS[key] = shifted = _reduce(out)
-    return shifted
+    shift, nxt = _reduce(out)
+    if not nxt:
+        return 0, -1
+    if nxt not in _NUMBERS:
+        _NUMBERS[nxt] = len(_STATES)
+        _STATES.append(nxt)
+    return shift, _NUMBERS[nxt]
+
+
+def _bit(c: str) -> int:
+    return 1 << ord(c) % 61
+
+
+def _with_needs(node: dict) -> tuple[dict, int]:
+    """The node with, beside each child, the letters that all words below it still need, and those of the node itself."""
+    out, need = {}, -1
+    for c, child in node.items():
+        below, rest = (child, 0) if isinstance(child, str) else _with_needs(child)
+        out[c] = (rest, below)
+        need &= rest | _bit(c)
+    return out, need
 
 
 class WordTrie:
     """Words with their characters as paths, one trie for each length of word."""
 
     def __init__(self, words: Iterable[str]) -> None:
-        self.roots: dict[int, dict] = {}
-        self.words = set()
-        for word in words:
-            if word and word not in self.words:
-                self.words.add(word)
-                node = self.roots.setdefault(len(word), {})
-                for c in word[:-1]:
-                    node = node.setdefault(c, {})
-                node[word[-1]] = word
+        plain: dict[int, dict] = {}
+        self.words = {w for w in words if w}
+        for word in sorted(self.words):
+            node = plain.setdefault(len(word), {})
+            for c in word[:-1]:
+                node = node.setdefault(c, {})
+            node[word[-1]] = word
+        self.roots = {size: _with_needs(root)[0] for size, root in plain.items()}
 
     def search(self, query: str, limit: int, allowed: Callable[[int], int] | None = None) -> list[tuple[str, int]]:
         """All words within the distance, with their distances; allowed: the distance allowed to words of a length, if less."""
@@ -85,22 +104,33 @@ class WordTrie:
     def _walk(root: dict, size: int, query: str, limit: int, out: list[tuple[str, int]]) -> None:
         n, span = len(query), 2 * limit + 2
         bits: dict[str, int] = {}
+        missing = -1
         for k, c in enumerate(query):
             bits[c] = bits.get(c, 0) | 1 << k
-        stack: list[tuple[dict, int, int, State]] = [(root, size - 1, 0, ((0, 0, 0),))]
+            missing &= ~_bit(c)
+        steps, wide = _STEPS.setdefault(limit, {}), 2 * span
+        stack: list[tuple[dict, int, int, int, int]] = [(root, size - 1, 0, 0, limit)]
         mask = (1 << span) - 1
         while stack:
-            node, rest, base, state = stack.pop()
+            node, rest, base, state, errors = stack.pop()
             left = n - base if n - base < span else span
-            for c, child in node.items():
-                shift, nxt = _step(limit, state, bits.get(c, 0) >> base & mask, left)
-                if not nxt:
+            for c, (need, child) in node.items():
+                if (need & missing).bit_count() > errors:  # each letter that the query lacks is an error
+                    continue
+                hits = bits.get(c, 0) >> base & mask
+                key = (state << wide | left << span) + hits
+                if (known := steps.get(key)) is None:
+                    known = steps[key] = _step(limit, state, hits, left)
+                shift, number = known
+                if number < 0:
                     continue
+                nxt = _STATES[number]
                 if rest:
                     # What is left of both must not differ by more than the errors left.
                     gap = n - base - shift - rest
-                    if any(e + abs(gap - i) <= limit + t for i, e, t in nxt):
-                        stack.append((child, rest - 1, base + shift, nxt))
+                    spare = [limit + t - e for i, e, t in nxt if e + abs(gap - i) <= limit + t]
+                    if spare:
+                        stack.append((child, rest - 1, base + shift, number, max(spare)))
                 elif (best := min((e + n - base - shift - i for i, e, t in nxt if t == 0), default=limit + 1)) <= limit:
                     out.append((child, best))
 
