@@ -1,4 +1,4 @@
-"""Text column functions. Every function takes and returns Column; null in, null out."""
+"""Text column functions. The patterns are fixed values: they belong to the formats of the sources. Every function takes and returns Column; null in, null out."""
 
 from __future__ import annotations
 
@@ -63,7 +63,19 @@ def first_year(c: Column) -> Column:
 def slugify(c: Column) -> Column:
     """Words percent-encoded and joined by '_'; the slash stays as it is."""
     words = F.split(py_strip(c), r"(?U)\s+")
-    return F.array_join(F.transform(words, lambda w: F.replace(F.url_encode(w), F.lit("%2F"), F.lit("/"))), "_")
+    encoded = lambda w: F.replace(F.replace(F.replace(F.url_encode(w), F.lit("%2F"), F.lit("/")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.array_join(F.transform(words, encoded), "_")
+
+
+def query_string(fields: dict[str, Column]) -> Column:
+    """name=value pairs as a form sends them: a blank is '+', a missing value ''."""
+    pairs = [F.concat(F.lit(f"{k}="), F.replace(F.replace(F.url_encode(F.coalesce(v, F.lit(""))), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))) for k, v in fields.items()]
+    return F.concat_ws("&", *pairs)
+
+
+def decode_utf8(c: Column) -> Column:
+    """Text of landed bytes; null where they are not valid UTF-8."""
+    return F.when(F.is_valid_utf8(c.cast("string")), F.decode(c, "UTF-8"))
 
 
 def strip_html_comments(c: Column) -> Column:
@@ -81,5 +93,10 @@ def first_link(c: Column, suffix: str) -> Column:
     return F.regexp_extract(c, rf'href="([^"]*{suffix})"', 1)
 
 
+def first_url(c: Column, mark: str, suffix: str) -> Column:
+    """First absolute URL anywhere in the text that holds `mark` and then runs up to `suffix`; '' when there is none."""
+    return F.regexp_extract(c, rf'https?://[^"]*{mark}[^"]*{suffix}', 0)
+
+
 def year_of_text(c: Column) -> Column:
     return F.substring(c, 1, 4).try_cast("int")

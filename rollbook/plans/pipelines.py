@@ -1,4 +1,4 @@
-"""The four jobs from source documents to tables, each one declarative plan over the readers."""
+"""The jobs from source documents to tables, each one declarative plan over the readers."""
 
 from __future__ import annotations
 
@@ -33,7 +33,8 @@ def affiliations(files: DataFrame) -> DataFrame:
     """ZIP archives (binaryFile rows) -> (commissioner, section, role, organisation, description, pos).
 
     Sentinel values leave the field lists before roles, names and activities are aligned, as a blank one moves later ones up.
-    One shuffle: all fields of a form are collected by its file name.
+    One shuffle: all fields of a form are collected by its archive and file name. A declared name counts as it is, also an empty one;
+    the file name stands in only where the field is missing.
     """
     controls = archive_controls(files).where("error is null")
     fields = sorted({f for s in SECTIONS for f in s[1:] if f})
@@ -41,8 +42,8 @@ def affiliations(files: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.when((F.col("alias") == f) & ~F.col("text").isin(*SENTINELS), F.struct("pos", "text")))), lambda s: s["text"]).alias(f)
         for f in fields
     ]
-    named = F.max_by(F.when((F.col("alias") == FULL_NAME) & ~F.col("text").isin(*SENTINELS), F.col("text")), F.when((F.col("alias") == FULL_NAME) & ~F.col("text").isin(*SENTINELS), F.col("pos")))
-    forms = controls.groupBy("entry").agg(named.alias("declared"), *lists)
+    named = F.max_by(F.when(F.col("alias") == FULL_NAME, F.col("text")), F.when(F.col("alias") == FULL_NAME, F.col("pos")))
+    forms = controls.groupBy("path", "entry").agg(named.alias("declared"), *lists)
     forms = forms.withColumn("commissioner", F.coalesce("declared", tx.filename_to_name(tx.url_last_segment(F.col("entry")))))
     parts = []
     for label, *columns in SECTIONS:
@@ -99,7 +100,7 @@ def web_roster(pages: DataFrame, page_id: str, html: str) -> DataFrame:
 
 def member_roster(pages: DataFrame, page_id: str, html: str, countries: Sequence[str], groups: Mapping[str, str] = GROUPS) -> DataFrame:
     """Parliament roster: tables under a heading that begins with a country's name, in either layout; first row of a (name, country)."""
-    rows = html_rows(pages, page_id, html)
+    rows = html_rows(pages, page_id, html, strip_nodes=True)
     country = F.coalesce(*[F.when(F.startswith("heading", F.lit(c)), c) for c in countries], F.lit(""))
     listed = rows.withColumn("Country", country).where("Country <> ''")
     header = F.when(F.col("row_no") == 0, F.array_contains("cells", "Constituency"))
@@ -121,3 +122,25 @@ def declarations(texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     good = texts.where(~blank).withColumn("_a", items("A", "B")).withColumn("_c", items("C", "D"))
     shown = good.withColumns({f"section_{k}_items": mv.render_items(F.col(f"_{k}")) for k in "ac"} | {f"section_{k}_count": F.size(f"_{k}") for k in "ac"})
     return shown.drop("_a", "_c"), bad
+
+
+def declaration_flow(pages: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(good, errors, counters) of the declarations found on people's pages.
+
+    pages: name, html (null: the page could not be read), page_error. texts: url, text, error (of reading the file). The first absolute
+    link with "DPI" that ends in ".pdf" is a page's declaration; people without one count as no_pdf and are no errors.
+    errors: (name, stage, error). counters: success, no_pdf, pdf_fail (file not there), parse_fail (file not readable).
+    """
+    linked = pages.withColumn("url", F.nullif(tx.first_url(F.col("html"), "DPI", r"\.pdf"), F.lit("")))
+    read = linked.join(texts.select(F.col("url"), F.lit(True).alias("there"), F.col("text"), F.col("error")), "url", "left")
+    stage = (
+        F.when(F.col("html").isNull(), "decl_page").when(F.col("url").isNull(), "no_pdf").when(F.col("there").isNull(), "pdf_download")
+        .when(F.col("error").isNotNull(), "pdf_parse").otherwise("success")
+    )
+    staged = read.withColumn("stage", stage)
+    good, _ = declarations(staged.where("stage = 'success'").drop("stage", "error"), "text")
+    said = F.coalesce("error", "page_error", F.when(F.col("stage") == "pdf_download", "no such file"), F.lit(""))
+    errors = staged.where("stage in ('decl_page', 'pdf_download', 'pdf_parse')").select("name", "stage", said.alias("error"))
+    n = lambda s: F.count_if(F.col("stage") == s)
+    counters = staged.agg(n("success").alias("success"), n("no_pdf").alias("no_pdf"), n("pdf_download").alias("pdf_fail"), n("pdf_parse").alias("parse_fail"))
+    return good, errors, counters

@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -31,31 +32,35 @@ def control_entries(raw: bytes) -> list[tuple[str, str]]:
 
 
 def archive_controls(files: DataFrame, skip: str = "Test Form") -> DataFrame:
-    """binaryFile rows of ZIP archives -> (entry, pos, alias, text, error). Entries are visited in name order; one that cannot be parsed gives a row with the error."""
+    """binaryFile rows of ZIP archives -> (path, entry, pos, alias, text, error). Entries are visited in name order; one that cannot be parsed gives a row with the error.
+
+    Only names that end in ".xml" count, in lower case. Rows without a path column have a null path.
+    """
+    files = files.select(F.col("path") if "path" in files.columns else F.lit(None).cast("string").alias("path"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
-            for content in batch["content"]:
+            for path, content in zip(batch["path"], batch["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for entry in sorted(n for n in z.namelist() if n.lower().endswith(".xml") and skip not in n):
+                        for entry in sorted(n for n in z.namelist() if n.endswith(".xml") and skip not in n):
                             try:
-                                rows += [(entry, i, a, t, None) for i, (a, t) in enumerate(control_entries(z.read(entry)))]
+                                rows += [(path, entry, i, a, t, None) for i, (a, t) in enumerate(control_entries(z.read(entry)))]
                             except ElementTree.ParseError as e:
-                                rows.append((entry, None, None, None, str(e)))
+                                rows.append((path, entry, None, None, None, str(e)))
                 except zipfile.BadZipFile as e:
-                    rows.append((None, None, None, None, str(e)))
-            out = pd.DataFrame(rows, columns=["entry", "pos", "alias", "text", "error"])
+                    rows.append((path, None, None, None, None, str(e)))
+            out = pd.DataFrame(rows, columns=["path", "entry", "pos", "alias", "text", "error"])
             out["pos"] = out["pos"].astype("Int32")
             if len(out):  # an empty string column has no Arrow array
                 yield out
 
-    return files.select("content").mapInPandas(run, "entry string, pos int, alias string, text string, error string")
+    return files.mapInPandas(run, "path string, entry string, pos int, alias string, text string, error string")
 
 
 def pdf_texts(files: DataFrame, name: str = "path") -> DataFrame:
-    """binaryFile rows of PDF files -> (name, text, error): page texts joined by line breaks, empty pages left out.
+    """binaryFile rows of PDF files -> (name, text, error): page texts one after the other, as the library gives them.
 
     The PDF library is optional; without it, and for files it cannot read, text is null and error says why.
     """
@@ -72,7 +77,7 @@ def pdf_texts(files: DataFrame, name: str = "path") -> DataFrame:
                     if PdfReader is None:
                         raise ValueError("no PDF library installed")
                     pages = [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
-                    rows.append((key, "\n".join(p for p in pages if p.strip()), None))
+                    rows.append((key, "".join(pages), None))
                 except Exception as e:  # noqa: BLE001 - one broken file must not end the job
                     rows.append((key, None, f"{type(e).__name__}: {e}"))
             if rows:
@@ -84,8 +89,9 @@ def pdf_texts(files: DataFrame, name: str = "path") -> DataFrame:
 class _Tables(HTMLParser):
     """Rows of all tables, with the table's classes and the h2 heading that stands directly before it."""
 
-    def __init__(self) -> None:
+    def __init__(self, strip_nodes: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.strip_nodes = strip_nodes
         self.rows: list[tuple[int, str, str, int, list[str]]] = []
         self.table, self.row, self.depth = -1, -1, 0
         self.cell: list[str] | None = None
@@ -110,7 +116,8 @@ class _Tables(HTMLParser):
         elif tag == "h2" and self.title is not None:
             self.heading, self.title = re.sub(r"\s+", " ", "".join(self.title)).strip(), None
         elif tag in ("td", "th") and self.cell is not None:
-            self.rows[-1][4].append(re.sub(r"\s+", " ", "".join(self.cell)).strip())
+            text = "".join(map(str.strip, self.cell)) if self.strip_nodes else re.sub(r"\s+", " ", "".join(self.cell)).strip()
+            self.rows[-1][4].append(text)
             self.cell = None
 
     def handle_data(self, data):
@@ -120,10 +127,11 @@ class _Tables(HTMLParser):
             self.title.append(data)
 
 
-def html_rows(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def html_rows(df: DataFrame, id_col: str, html_col: str, strip_nodes: bool = False) -> DataFrame:
     """(id, table_no, table_class, heading, row_no, cells) for each row of each HTML table; null pages give no rows.
 
     heading is the h2 with no other table between it and this one, else ''. Comments are not text.
+    strip_nodes: text nodes are trimmed one by one and joined without a blank, else a cell's text is collapsed and trimmed whole.
     """
     kind = dict(df.dtypes)[id_col]
     names = [id_col, "table_no", "table_class", "heading", "row_no", "cells"]
@@ -132,7 +140,7 @@ def html_rows(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
         for batch in batches:
             out = []
             for key, page in zip(batch[id_col], batch[html_col]):
-                parser = _Tables()
+                parser = _Tables(strip_nodes)
                 parser.feed(page or "")
                 out += [(key, *r) for r in parser.rows]
             if out:

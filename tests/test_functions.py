@@ -76,3 +76,31 @@ def test_timeline(spark):
     assert items("Commissioner (2001-01-01 to 2003-01-01)") is None
     df = spark.createDataFrame([("p", None, "2001"), ("p", "2000", None), ("p", "2000", "2001")], "p string, s string, e string")
     assert [r[0] for r in df.select(tl.render_interval(F.col("p"), F.col("s"), F.col("e"))).collect()] == ["p", "p (from 2000)", "p (2000 to 2001)"]
+
+
+def test_web_text_functions(spark):
+    df = spark.createDataFrame([("A*b ~c/d", 'x "http://a/no.pdf" y "https://b/x_DPI_1.pdf?"', bytearray("Žá".encode()), bytearray(b"\xff\xfe"))], "s string, html string, ok binary, bad binary")
+    row = df.select(tx.slugify(F.col("s")), tx.first_url(F.col("html"), "DPI", r"\.pdf"), tx.decode_utf8(F.col("ok")), tx.decode_utf8(F.col("bad")), tx.query_string({"a": F.col("s"), "b": F.lit(None).cast("string")})).first()
+    assert tuple(row) == ("A%2Ab_~c/d", "https://b/x_DPI_1.pdf", "Žá", None, "a=A%2Ab+~c%2Fd&b=")
+
+
+def test_files(spark, tmp_path):
+    from rollbook.sources import io
+
+    path = str(tmp_path / "t")
+    for value in ("one", "two"):
+        io.safe_overwrite(spark.createDataFrame([(value,)], "Name string"), path)
+    again = io.read_csv(spark, path, io._strings("Name"))
+    io.safe_overwrite(again, path)  # reads what it replaces
+    assert [r.Name for r in io.read_csv(spark, path, io._strings("Name")).collect()] == ["two"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t"]
+    (tmp_path / "rows.json").write_text('[{"a": "1", "b": "x"}, {"a": "2"}]')
+    assert sorted(tuple(r) for r in io.read_json_rows(spark, str(tmp_path / "rows.json"), io._strings("a", "b")).collect()) == [("1", "x"), ("2", None)]
+    assert io.rows_of(spark, [], io._strings("a")).columns == ["a"] and io.rows_of(spark, [], io._strings("a")).count() == 0
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    for k in (1, 2):
+        (pages / f"{k}.json").write_text('{"results": {"bindings": [{"x": {"value": "v%d"}}, {}]}}' % k)
+    assert sorted(r.x for r in io.sparql_rows(io.read_pages(spark, str(pages)), "value", ["x"]).collect()) == ["", "", "v1", "v2"]
+    shown = io.sample_report(spark.createDataFrame([(i, "t" * 400) for i in range(9)], "id int, t string"), "id", cuts={"t": 200})
+    assert [(r.id, len(r.t)) for r in shown.collect()] == [(i, 200) for i in range(5)]

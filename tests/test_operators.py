@@ -83,7 +83,7 @@ def test_archive(spark):
         z.writestr("a.xml", "<broken")
         z.writestr("Test Form.xml", body)
     files = spark.createDataFrame([(raw.getvalue(),), (b"no zip",)], "content binary")
-    got = [tuple(r) for r in docs.archive_controls(files).collect()]
+    got = [tuple(r) for r in docs.archive_controls(files).drop("path").collect()]
     assert ("b.xml", 0, "role", "Chair", None) in got and ("b.xml", 1, "org", "Club", None) in got and len(got) == 4
     assert sum(r[4] is not None for r in got) == 2
 
@@ -114,3 +114,38 @@ def test_adjacent_across_stretches(spark):
         got = mt.adjacent(df, "o", ["k"], "v", "a", "b", span=span)
         assert got.columns == ["k", "o", "v"]
         assert sorted(((r.k, r.o) for r in got.collect()), key=str) == want
+
+
+def test_first_seen_scans_cohorts_in_order(spark):
+    rows = [(1, "Ann", "Late"), (2, "Ann", "Early"), (3, "Bo", "Other"), (4, None, "Early"), (5, "Ann", "Early"), (6, "Bo", None)]
+    out = ag.first_seen(spark.createDataFrame(rows, "id int, name string, cohort string"), "name", "cohort", ["Early", "Late"], "id")
+    assert sorted(tuple(r) for r in out.collect()) == [(2, "Ann", "Early"), (3, "Bo", "Other")]
+
+
+def test_ranked_places_ties_together(spark):
+    out = ag.ranked(spark.createDataFrame([("a", 5), ("b", 7), ("c", 5), ("d", 1)], "k string, n bigint"), "n", "place")
+    assert {r.k: r.place for r in out.collect()} == {"b": 1, "a": 2, "c": 2, "d": 4}
+
+
+def test_cohort_trends_with_given_sizes(spark):
+    roster = spark.createDataFrame([("x", "Ann"), ("x", "Ann"), ("x", "Bo")], "c string, name string")
+    persons = spark.createDataFrame([("Ann", True), ("Bo", False)], "name string, f boolean")
+    sizes = spark.createDataFrame([("x", 8)], "c string, size bigint")
+    assert tuple(ag.cohort_trends(roster, persons, "c", "name", ["f"], sizes).first()) == ("x", 8, 2, 25.0)
+    assert tuple(ag.cohort_trends(roster, persons, "c", "name", ["f"]).first()) == ("x", 3, 2, 66.7)
+
+
+def test_cohort_lookup_with_and_without_accents(spark):
+    df = spark.createDataFrame([(1, "Věra Lee(Serving Member"), (2, "VERA LEE"), (3, "No One"), (4, None)], "id int, name string")
+    persons = spark.createDataFrame([("Věra Lee", "I"), (None, "II")], "person string, cohort string")
+    plain = {r.id: r.out for r in mt.cohort_lookup(df, "name", persons, "person", "cohort", "out").collect()}
+    folded = {r.id: r.out for r in mt.cohort_lookup(df, "name", persons, "person", "cohort", "out", fold_accents=True).collect()}
+    assert plain == {1: "I", 2: "Other/Earlier", 3: "Other/Earlier", 4: "Other/Earlier"}
+    assert folded == {1: "I", 2: "I", 3: "Other/Earlier", 4: "Other/Earlier"}
+
+
+def test_keywords_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mt, "MAX_KEYWORDS", 1)
+    texts = spark.createDataFrame([(1, "Alpha and BETA"), (2, None), (3, "gamma")], "id int, t string")
+    keys = spark.createDataFrame([("alpha",), ("Beta",), ("delta",), ("",)], "k string")
+    assert sorted(tuple(r) for r in mt.keyword_hits(texts, keys, "id", "t", "k").collect()) == [(1, "Beta"), (1, "alpha")]

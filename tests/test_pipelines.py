@@ -72,3 +72,21 @@ def test_declarations(spark):
     r = good.first()
     assert (r.section_a_items, r.section_a_count, r.section_c_items, r.section_c_count) == ("1. one more || 2. two", 2, "", 0)
     assert sorted(x.id for x in bad.collect()) == [2, 3]
+
+
+def test_forms_of_equal_file_names_stay_apart(spark):
+    one = archive(**{"DOI-Ann Lee-EN.xml": form(("c11", "Chair"), ("c21", "Club")), "DOI-No-EN.XML": form(("c11", "not read"))})
+    two = archive(**{"DOI-Ann Lee-EN.xml": form(("DOI_FullName", ""), ("c11", "Member"), ("c21", "Board"))})
+    out = pl.affiliations(spark.createDataFrame([("a.zip", one), ("b.zip", two)], "path string, content binary")).collect()
+    got = sorted((r.commissioner, r.role, r.organisation) for r in out)
+    assert got == [("", "Member", "Board"), ("Ann Lee", "Chair", "Club")]  # a declared name counts also when it is empty
+
+
+def test_declaration_flow(spark):
+    link = '<a href="http://x/other.pdf"><a href="{}">'.format
+    pages = [("Ann", link("https://x/1_DPI_a.pdf"), None), ("Bo", link("https://x/cv.pdf"), None), ("Cy", None, "timed out"), ("Di", link("https://x/DPI2.pdf"), None), ("Ed", link("https://x/DPI3.pdf"), None)]
+    texts = [("https://x/1_DPI_a.pdf", '(A) "W"\n1. one\n2. two', None), ("https://x/DPI3.pdf", None, "broken")]
+    good, errors, counters = pl.declaration_flow(spark.createDataFrame(pages, "name string, html string, page_error string"), spark.createDataFrame(texts, "url string, text string, error string"))
+    assert [(r.name, r.section_a_items) for r in good.collect()] == [("Ann", "1. one || 2. two")]
+    assert sorted(tuple(r) for r in errors.collect()) == [("Cy", "decl_page", "timed out"), ("Di", "pdf_download", "no such file"), ("Ed", "pdf_parse", "broken")]
+    assert tuple(counters.first()) == (1, 1, 1, 1)
