@@ -25,6 +25,7 @@ def local_session(cores: int = 8, app: str = "rollbook", memory: str = "8g") ->
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    importable(spark)
     return spark
 
 
