@@ -112,3 +112,21 @@ def test_recall_against_brute_force_without_a_list(spark):
     matching = [(a, b) for a, b in combinations(names, 2) if forms[a][0] == forms[b][0] and combine(*forms[a][1:], *forms[b][1:])]
     missed = [p for p in matching if got[p[0]] != got[p[1]]]
     assert len(matching) > 200 and len(missed) <= 0.01 * len(matching), missed
+
+
+def test_later_rounds_look_at_changed_blocks_only(spark, monkeypatch):
+    from rollbook.llm import resolution
+
+    seen, first_round = [], resolution._round
+
+    def counted(state, keys):
+        seen.append(keys.count())
+        return first_round(state, keys)
+
+    monkeypatch.setattr(resolution, "_round", counted)
+    # The names of the first row join; those of the second share blocks and never match.
+    joining = ["Karlov, Bentman & D. Holding", "Karlov, B. & Dornach Holding", "K., Bentman & Dornach Holding"]
+    resting = ["Dorlan Gymnasium Aston", "Dorlan Gymnasium Alby", "Dorlan Gymnasium Ashwell", "Dorlan Gymnasium Adstock", "Dorlan Gymnasium Acle"]
+    got = bodies(spark, [*joining, *resting])
+    assert len(set(got.values())) == 1 + len(resting)
+    assert len(seen) > 1 and max(seen[1:]) < seen[0]
